@@ -89,3 +89,13 @@ def version_time(text: Column | str) -> Column:
 
 def is_newer_version(left: Column | str, right: Column | str) -> Column:
     return version_time(left) > version_time(right)
+
+
+def as_instant(ts: Column | str) -> Column:
+    """Wall-clock timestamp -> ``TIMESTAMP`` for stream watermarks, whatever the session zone."""
+    return F.timestamp_micros(micros(ts))
+
+
+def from_micros(at: Column | str) -> Column:
+    """Microseconds since the epoch -> wall-clock timestamp."""
+    return F.timestamp_add("MICROSECOND", col(at), F.expr(_EPOCH))

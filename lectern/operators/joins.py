@@ -40,7 +40,7 @@ def order_details(
                           hot_rows=hot_rows, salts=salts)
     head = sourced.select(
         F.col("id").alias("order_id"), "out_trade_no", "trade_body", "session_id", "province_id", "source_id",
-        *[c for c in ("user_id", "ts") if c not in details.columns],
+        *[c for c in ("user_id", "ts") if c in orders.columns and c not in details.columns],
     )
     return join_unique(details, head, ["order_id"], ["id"], "inner", hot_rows=hot_rows, salts=salts)
 

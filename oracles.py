@@ -39,7 +39,7 @@ def traffic_parts(log: str) -> str:
   UNION ALL SELECT ts, vc, sc, ar, is_new, 0, 0, 0, 0, 1 FROM jumps)"""
 
 
-TRAFFIC = FIXED + ", " + traffic_parts("fixed") + """, a1 AS (
+TRAFFIC_SUMS = """, a1 AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, vc, sc, ar, is_new, CAST(sum(uv) AS BIGINT) AS uv_count,
     CAST(sum(se) AS BIGINT) AS total_session_count, CAST(sum(pv) AS BIGINT) AS page_view_count,
     CAST(sum(du) AS BIGINT) AS total_during_time, CAST(sum(ju) AS BIGINT) AS jump_session_count
@@ -48,6 +48,9 @@ TRAFFIC = FIXED + ", " + traffic_parts("fixed") + """, a1 AS (
     coalesce(n_name, '-') AS province_name, is_new, uv_count, total_session_count, page_view_count, total_during_time, jump_session_count
   FROM a1 LEFT JOIN region ON sc = CAST(r_regionkey AS VARCHAR) LEFT JOIN nation ON ar = CAST(n_nationkey AS VARCHAR))"""
 
+TRAFFIC = FIXED + ", " + traffic_parts("fixed") + TRAFFIC_SUMS
+RAW_TRAFFIC = PAGES + ", " + traffic_parts("pages") + TRAFFIC_SUMS
+
 LINES = EV + """, good AS (SELECT * FROM ev WHERE k % 10 <> 0)"""
 
 CHANGES = """changes AS (
@@ -421,3 +424,34 @@ ORACLES |= {
     "r26_chapters": f"""WITH {CHAPTERS} SELECT chapter_name, {big('play_count', 'play_count')}, {big('play_total_sec', 'play_total_sec')}, {big('play_uu_count', 'play_uu_count')},
         {share('play_total_sec', 'play_uu_count')} AS sec_per_user FROM (SELECT nullif(chapter_name, '-') AS chapter_name, play_count, play_total_sec, play_uu_count FROM a6) a6x GROUP BY 1 ORDER BY 3 DESC, 2 DESC, 4 DESC, 1 LIMIT 10""",
 }
+
+
+# --- streams: the batch answer, without what the watermark has not reached -------------------------
+
+def closed(window: str, width: str, source: str, late: str) -> str:
+    return f"{window} + INTERVAL {width} <= (SELECT max(ts) - INTERVAL {late} FROM {source})"
+
+
+DUE_LOGIN = "ts + INTERVAL 10 SECOND <= (SELECT max(ts) - INTERVAL 5 SECOND FROM ev WHERE uid IS NOT NULL)"
+
+ORACLES |= {
+    "stream_t1_new_visitor_repair": ORACLES["t1_new_visitor_repair"],
+    "stream_t2_daily_unique_visitor": ORACLES["t2_daily_unique_visitor"],
+    "stream_t3_unique_visitor_per_page": ORACLES["t3_unique_visitor_per_page"],
+    "stream_t4_bounces": ORACLES["t4_bounces"] + " WHERE nts IS NOT NULL OR ts + INTERVAL 3 HOUR <= (SELECT max(ts) FROM pages)",
+    "stream_t5_first_logins": ORACLES["t5_first_logins"] + f" AND {DUE_LOGIN}",
+    "stream_t7_login_returns": ORACLES["t7_login_returns"],
+    "stream_t9_buyer_days": f"""WITH {EV}, b AS (SELECT mid AS user_id, d, ts FROM ev WHERE event_type = 'purchase'), {buyers('b', 'uv', 'nw')}
+        SELECT user_id, strftime(ts, {MICROS}) AS ts, CAST(1 AS BIGINT) AS uv_count, CAST(CASE WHEN rn = 1 THEN 1 ELSE 0 END AS BIGINT) AS new_count FROM ranked""",
+    "stream_w5_keyed_tumbling_window": ORACLES["w5_keyed_tumbling_window"] + " WHERE " + closed("w", "10 MINUTE", "ev", "5 SECOND"),
+    "stream_a0_play_sessions": f"""WITH {PLAYS}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS s FROM plays WINDOW w AS (PARTITION BY sid ORDER BY ts, log_id)),
+        n AS (SELECT *, sum(s) OVER (PARTITION BY sid ORDER BY ts, log_id) AS no FROM g)
+        SELECT sid, arg_min(video_id, ts) AS video_id, CAST(sum(play_sec) AS BIGINT) AS play_sec, arg_max(position_sec, ts) AS position_sec,
+        strftime(min(ts), {MICROS}) AS ts FROM n GROUP BY sid, no HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 5 SECOND FROM plays)""",
+    "stream_a2_keyword_window": f"WITH {KEYWORDS} SELECT {bounds('w', HOUR)}, keyword, keyword_count FROM a2 WHERE " + closed("w", HOUR, "hits", "3 SECOND"),
+    "stream_a3_page_view_window": ORACLES["a3_page_view_window"] + " WHERE " + closed("w", HOUR, "firsts", "5 SECOND"),
+    "stream_a4_user_login_window": ORACLES["a4_user_login_window"] + " WHERE " + closed("w", HOUR, "ldays", "5 SECOND"),
+    "stream_a1_traffic_window": f"WITH {RAW_TRAFFIC} SELECT {bounds('w', HOUR)}, * EXCLUDE (w) FROM traffic WHERE " + closed("w", HOUR, "measures", "10805 SECOND"),
+    "stream_j3_bounded_join": """SELECT c.user_id, c.event_id AS click_id, b.event_id AS buy_id FROM events c JOIN events b ON c.user_id = b.user_id
+        AND b.ts BETWEEN c.ts AND c.ts + INTERVAL 2 HOUR WHERE c.event_type = 'click' AND b.event_type = 'purchase'""",
+}
