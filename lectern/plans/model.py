@@ -15,6 +15,7 @@ from lectern.operators.joins import order_details, paid_details, registrations
 from lectern.operators.keyed import repair_new_flag
 from lectern.operators.neighbours import with_neighbours
 from lectern.operators.skew import HOT_ROWS
+from lectern.session import stored
 from lectern.sources.schemas import PAID
 
 # Which page an event of each type stands for.
@@ -66,12 +67,12 @@ def raw_page_log(spark: SparkSession, sf: str, hot_rows: int = HOT_ROWS) -> Data
 
 
 def page_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Page log after the repair of the new-visitor flag."""
-    return repair_new_flag(raw_page_log(spark, sf))
+    """Page log after the repair of the new-visitor flag, stored as a layer for its readers."""
+    return stored(repair_new_flag(stored(raw_page_log(spark, sf), "raw_page_log")), "page_log")
 
 
-def plays(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").filter(F.col("event_type") == "view")
+def plays(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    events = read(spark, sf, "events").filter(F.col("event_type") == "view")
     number = key_number()
     return events.select(
         F.col("event_id").alias("log_id"), _text(F.col("user_id")).alias("uid"),
@@ -105,10 +106,10 @@ def raw_log_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(number % 10 == 0, cut).otherwise(F.col("line")).alias("value"))
 
 
-def search_log(spark: SparkSession, sf: str) -> DataFrame:
+def search_log(spark: SparkSession, sf: str, read=table) -> DataFrame:
     """Whole document texts as searched keywords, one per minute."""
     at = F.timestamp_add("MINUTE", F.col("doc_id"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
-    return table(spark, sf, "documents").select(
+    return read(spark, sf, "documents").select(
         F.col("text").alias("item"), F.lit("keyword").alias("item_type"), at.alias("ts")
     )
 
@@ -157,9 +158,10 @@ def payments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def paid_facts(spark: SparkSession, sf: str) -> DataFrame:
+def paid_facts(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    """Paid order details, from stored order facts if given."""
     good = payments(spark, sf).filter(F.col("payment_status") == PAID)
-    return paid_details(order_facts(spark, sf), good)
+    return paid_details(order_facts(spark, sf) if facts is None else facts, good)
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,30 +176,30 @@ def registered(spark: SparkSession, sf: str) -> DataFrame:
     return facts.withColumn("row_op_ts", F.col("ts"))
 
 
-def logins(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").filter(F.col("event_type") == "view").select(
+def logins(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    return read(spark, sf, "events").filter(F.col("event_type") == "view").select(
         _text(F.col("user_id")).alias("user_id"), "ts")
 
 
-def cart(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").filter(F.col("event_type") == "purchase").select(
+def cart(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    return read(spark, sf, "events").filter(F.col("event_type") == "purchase").select(
         _text(F.col("user_id")).alias("user_id"), "ts")
 
 
-def exams(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+def exams(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    return read(spark, sf, "lineitem").select(
         _text(F.col("l_partkey")).alias("paper_id"), (F.col("l_quantity") * 2).alias("score"),
         (F.col("l_linenumber") * 60).alias("duration_sec"), F.col("l_shipdate").alias("ts"))
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+def answers(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    return read(spark, sf, "events").select(
         _text(key_number()).alias("question_id"),
         F.when(F.col("value") > 50, "1").otherwise("0").alias("is_correct"), "ts")
 
 
-def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+def reviews(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    return read(spark, sf, "lineitem").select(
         _text(F.col("l_suppkey")).alias("course_id"),
         (F.col("l_quantity").cast("int") % 5 + 1).alias("review_stars"), F.col("l_shipdate").alias("ts"))
 

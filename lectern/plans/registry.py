@@ -20,6 +20,7 @@ from lectern.operators.windows import summed, tumbling
 from lectern.plans import model as m
 from lectern.plans import reports as r
 from lectern.plans import windows as w
+from lectern.session import stored
 from lectern.sources import messages, schemas
 from lectern.sources.schemas import PAID
 
@@ -244,7 +245,7 @@ def _(spark, sf):
 
 @query("p21_measure_rows")
 def _(spark, sf):
-    log = m.raw_page_log(spark, sf)
+    log = stored(m.raw_page_log(spark, sf), "raw_page_log")
     rows = w.traffic_rows(log, keyed.unique_visitors(log, m.TIE), keyed.bounces(log, m.TIE, m.BOUNCE_SECONDS))
     return rows.groupBy(F.to_date("ts").alias("day"), *w.TRAFFIC_KEYS).agg(*summed(*w.TRAFFIC_MEASURES))
 
@@ -575,8 +576,20 @@ _report("r7_visitors_by_type", r.visitors_by_type, _traffic)
 _report("r8_keyword_scores", r.keyword_scores, _keywords)
 _report("r9_user_changes", r.user_changes, _logins, _registrations)
 _report("r9_user_changes_of_day", r.user_changes, _logins, _registrations, date=EVENT_DATE)
-_report("r10_funnel", r.funnel, _page_views, _cart, _order_buyers, _payers)
-_report("r11_new_buyers", r.new_buyers, _order_buyers, _payers)
+
+@query("r10_funnel")
+def _(spark, sf):
+    facts = stored(m.order_facts(spark, sf), "order_facts")
+    return r.funnel(_page_views(spark, sf), _cart(spark, sf), w.order_buyers(facts),
+                    w.payers(m.paid_facts(spark, sf, facts)))
+
+
+@query("r11_new_buyers")
+def _(spark, sf):
+    facts = stored(m.order_facts(spark, sf), "order_facts")
+    return r.new_buyers(w.order_buyers(facts), w.payers(m.paid_facts(spark, sf, facts)))
+
+
 _report("r12_trade_by_source", r.trade_by_source, _source_orders)
 _report("r13_amount_by_province", r.amount_by_province, _province_orders)
 _report("r13_amount_by_province_of_day", r.amount_by_province, _province_orders, date=ORDER_DATE)

@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.timefn import as_instant, whole_seconds
+from lectern.functions.measures import money
 from lectern.operators import split
-from lectern.operators.windows import summed
 from lectern.plans import model as m
 from lectern.plans import windows as w
 from lectern.plans.registry import query
 from lectern.session import scratch_dir
 from lectern.streaming import operators as s
-from lectern.streaming.run import layer_stream, scratch_layer, to_layer
+from lectern.sinks.layers import read_window_table
+from lectern.streaming import windows
+from lectern.streaming.run import layer_stream, scratch_layer, to_layer, to_window_table
 
 
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -100,27 +101,49 @@ def _(spark, sf):
     return scratch_layer(s.play_sessions(plays, m.PLAY_GAP_SECONDS), "a0")
 
 
-@query("stream_a2_keyword_window")
-def _(spark, sf):
-    at = F.timestamp_add("MINUTE", F.col("doc_id"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
-    log = stream(spark, sf, "documents").select(
-        F.col("text").alias("item"), F.lit("keyword").alias("item_type"), at.alias("ts"))
-    rows = w.keyword_rows(log).select("keyword", as_instant(whole_seconds("ts")).alias("event_ts"))
-    timed = rows.withWatermark("event_ts", s.LATE_KEYWORDS)
-    return scratch_layer(s.tumbling(timed, ["keyword"], [F.count(F.lit(1)).alias("keyword_count")], m.HOUR), "a2")
+def _sums(name: str, build) -> None:
+    """Register the closed sums of a window table."""
+    @query(name)
+    def _(spark, sf):
+        return scratch_layer(build(spark, sf), name)
+
+
+def order_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a stream; the buyer's nation comes from a stream-static join."""
+    who = m.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    joined = stream(spark, sf, "orders").join(who, F.col("o_custkey") == who["c_custkey"])
+    return joined.select(F.col("c_nationkey").cast("string").alias("province_id"),
+                         F.col("o_custkey").cast("string").alias("user_id"),
+                         money("o_totalprice").alias("final_amount"), F.col("o_orderdate").alias("ts"))
+
+
+_sums("stream_a2_keyword_window", lambda spark, sf: windows.keywords(m.search_log(spark, sf, stream), m.HOUR))
+_sums("stream_a3_page_view_window", lambda spark, sf: windows.page_views(event_stream(spark, sf), m.HOUR))
+_sums("stream_a4_user_login_window", lambda spark, sf: windows.user_logins(m.logins(spark, sf, stream), m.HOUR))
+_sums("stream_a6_video_play_window", lambda spark, sf: windows.chapter_plays(m.plays(spark, sf, stream), m.HOUR))
+_sums("stream_a7_cart_add_window", lambda spark, sf: windows.cart_adds(m.cart(spark, sf, stream), m.HOUR))
+_sums("stream_a10_province_order_window", lambda spark, sf: windows.province_orders(order_stream(spark, sf)))
+_sums("stream_a13_paper_exam_window", lambda spark, sf: windows.paper_exams(m.exams(spark, sf, stream)))
+_sums("stream_a15_question_answer_window", lambda spark, sf: windows.question_answers(m.answers(spark, sf, stream), m.HOUR))
 
 
-@query("stream_a3_page_view_window")
+@query("stream_a14_paper_score_window")
 def _(spark, sf):
-    first = s.daily_first(split.view_pages(event_stream(spark, sf)), ["mid", "page_id"])
-    rows = w.page_view_rows(first.withColumn("ts", F.col("event_ts"))).withColumnRenamed("ts", "event_ts")
-    return scratch_layer(s.tumbling(rows, [], summed(*w.PAGE_VIEW_MEASURES), m.HOUR), "a3")
+    """The whole way to a stored, named window table, and back from it."""
+    root = scratch_dir(spark, "a14")
+    name = "dws_examination_paper_score_duration_exam_window"
+    to_window_table(windows.paper_scores(m.exams(spark, sf, stream)), root, name,
+                    lambda sums: w.score_names(sums, m.papers(spark, sf)))
+    return read_window_table(spark, root, name).drop("ts", "dt").na.fill("-")
 
 
-@query("stream_a4_user_login_window")
+@query("stream_a16_course_review_window")
 def _(spark, sf):
-    days = s.login_days(users_of(spark, sf, "view"))
-    return scratch_layer(s.tumbling(days, [], summed("back_count", "uv_count"), m.HOUR), "a4")
+    root = scratch_dir(spark, "a16")
+    name = "dws_interaction_course_review_window"
+    to_window_table(windows.course_reviews(m.reviews(spark, sf, stream)), root, name,
+                    lambda sums: w.review_names(sums, m.courses(spark, sf)))
+    return read_window_table(spark, root, name).drop("ts", "dt").na.fill("-")
 
 
 @query("stream_a1_traffic_window")
@@ -128,14 +151,10 @@ def _(spark, sf):
     """Three queries: visitors and bounces become layers, then one query unites them with the page log."""
     path, log = page_log_layer(spark, sf)
     root = scratch_dir(spark, "traffic")
-    visitors = s.daily_first(split.entry_pages(layer_stream(spark, path, log)), ["mid"]).select(*log.columns)
-    uv = to_layer(visitors, root + "/uv", root + "/uv-checkpoint")
+    uv = to_layer(windows.visitors(layer_stream(spark, path, log)), root + "/uv", root + "/uv-checkpoint")
     jumps = to_layer(s.bounces(layer_stream(spark, path, log), m.BOUNCE_SECONDS), root + "/jump", root + "/jump-checkpoint")
-    rows = w.traffic_rows(layer_stream(spark, path, log), layer_stream(spark, root + "/uv", uv),
-                          layer_stream(spark, root + "/jump", jumps))
-    # A window must wait until its bounces are known: the bounce bound and five seconds more.
-    timed = s.with_event_time(rows, "ts", f"{m.BOUNCE_SECONDS + 5} seconds")
-    sums = s.tumbling(timed, w.TRAFFIC_KEYS, summed(*w.TRAFFIC_MEASURES), m.HOUR)
+    sums = windows.traffic(layer_stream(spark, path, log), layer_stream(spark, root + "/uv", uv),
+                           layer_stream(spark, root + "/jump", jumps), m.BOUNCE_SECONDS, m.HOUR)
     closed = to_layer(sums, root + "/window", root + "/window-checkpoint")
     return w.traffic_names(closed, m.sources(spark, sf), m.provinces(spark, sf))
 

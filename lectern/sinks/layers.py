@@ -67,15 +67,17 @@ def window_rows(df: DataFrame, name: str) -> DataFrame:
     return stamped(df.select("stt", "edt", *WINDOW_TABLES[name]))
 
 
-def write_window_table(df: DataFrame, path: str, name: str) -> None:
-    """Append closed windows, partitioned by day for the reports."""
-    rows = window_rows(df, name).withColumn("dt", F.date_format("stt", "yyyy-MM-dd"))
-    # One file per day and task at most: rows of a day meet before they are written.
-    rows.repartition("dt", F.pmod(F.xxhash64("stt"), F.lit(16))).write.mode("append").partitionBy("dt").parquet(f"{path}/{name}")
+def write_window_table(df: DataFrame, path: str, name: str, number: int = 0) -> None:
+    """Write closed windows as batch ``number``, partitioned by day for the reports.
+
+    The rebalance hint lets Spark split a heavy day over several files and join light ones.
+    """
+    rows = window_rows(df, name).withColumn("dt", F.date_format("stt", "yyyy-MM-dd")).hint("rebalance", "dt")
+    rows.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/{name}/batch_id={number}")
 
 
 def read_window_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/{name}").drop("batch_id")
 
 
 def show(df: DataFrame, rows: int = 20) -> None:

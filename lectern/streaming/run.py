@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.session import scratch_dir
-from lectern.sinks.layers import append_batch, read_layer
+from lectern.sinks.layers import append_batch, read_layer, write_window_table
 from lectern.streaming.operators import ROCKS_DB, STATE_STORE
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -33,6 +33,22 @@ def to_layer(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return read_layer(df.sparkSession, path, df.schema)
 
 
+def to_window_table(sums: DataFrame, path: str, name: str, naming: Callable[[DataFrame], DataFrame] = lambda df: df,
+                    every: str | None = None) -> StreamingQuery:
+    """Closed window sums -> named rows of a window table.
+
+    ``naming`` looks up names in the dimensions. It is called for each batch, on few rows, and should
+    read the dimensions anew, so that their changes apply.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        write_window_table(naming(batch), path, name, number)
+
+    query = start(sums, write, f"{path}/_checkpoint_{name}", every)
+    if every is None:
+        query.awaitTermination()
+    return query
+
+
 def scratch_layer(df: DataFrame, name: str) -> DataFrame:
     """``to_layer`` in a new folder of the shared scratch space."""
     root = scratch_dir(df.sparkSession, name)

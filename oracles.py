@@ -448,10 +448,18 @@ ORACLES |= {
         n AS (SELECT *, sum(s) OVER (PARTITION BY sid ORDER BY ts, log_id) AS no FROM g)
         SELECT sid, arg_min(video_id, ts) AS video_id, CAST(sum(play_sec) AS BIGINT) AS play_sec, arg_max(position_sec, ts) AS position_sec,
         strftime(min(ts), {MICROS}) AS ts FROM n GROUP BY sid, no HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 5 SECOND FROM plays)""",
-    "stream_a2_keyword_window": f"WITH {KEYWORDS} SELECT {bounds('w', HOUR)}, keyword, keyword_count FROM a2 WHERE " + closed("w", HOUR, "hits", "3 SECOND"),
+    "stream_a2_keyword_window": ORACLES["a2_keyword_window"] + " WHERE " + closed("w", HOUR, "hits", "3 SECOND"),
     "stream_a3_page_view_window": ORACLES["a3_page_view_window"] + " WHERE " + closed("w", HOUR, "firsts", "5 SECOND"),
     "stream_a4_user_login_window": ORACLES["a4_user_login_window"] + " WHERE " + closed("w", HOUR, "ldays", "5 SECOND"),
     "stream_a1_traffic_window": f"WITH {RAW_TRAFFIC} SELECT {bounds('w', HOUR)}, * EXCLUDE (w) FROM traffic WHERE " + closed("w", HOUR, "measures", "10805 SECOND"),
+    "stream_a6_video_play_window": f"WITH {CHAPTERS} SELECT {bounds('w', HOUR)}, video_id, CAST(pc AS BIGINT) AS play_count, CAST(ps AS BIGINT) AS play_total_sec, CAST(pu AS BIGINT) AS play_uu_count FROM pv WHERE " + closed("w", HOUR, "plays", "5 SECOND"),
+    "stream_a7_cart_add_window": ORACLES["a7_cart_add_window"] + " WHERE " + closed("w", HOUR, "cdays", "5 SECOND"),
+    "stream_a10_province_order_window": f"WITH {PROVINCES} SELECT {bounds('w', TEN)}, province_id, order_total_amount, order_uu_count, order_count FROM a10 WHERE " + closed("w", TEN, "ord", "5 SECOND"),
+    "stream_a13_paper_exam_window": f"WITH {EXAMS} SELECT {bounds('w', TEN)}, paper_id, exam_taken_count, exam_total_score, exam_total_during_sec FROM a13 WHERE "
+        + "w + INTERVAL 10 SECOND <= (SELECT max(l_shipdate) - INTERVAL 5 SECOND FROM lineitem)",
+    "stream_a14_paper_score_window": ORACLES["a14_paper_score_window"] + " WHERE w + INTERVAL 10 SECOND <= (SELECT max(l_shipdate) - INTERVAL 5 SECOND FROM lineitem)",
+    "stream_a15_question_answer_window": f"WITH {ANSWERS} SELECT {bounds('w', HOUR)}, question_id, correct_answer_count, answer_count FROM a15 WHERE " + closed("w", HOUR, "ev", "5 SECOND"),
+    "stream_a16_course_review_window": ORACLES["a16_course_review_window"] + " WHERE w + INTERVAL 10 SECOND <= (SELECT max(l_shipdate) - INTERVAL 5 SECOND FROM lineitem)",
     "stream_j3_bounded_join": """SELECT c.user_id, c.event_id AS click_id, b.event_id AS buy_id FROM events c JOIN events b ON c.user_id = b.user_id
         AND b.ts BETWEEN c.ts AND c.ts + INTERVAL 2 HOUR WHERE c.event_type = 'click' AND b.event_type = 'purchase'""",
 }
