@@ -20,13 +20,16 @@ TOP = 10  # fixed value: length of the top lists
 
 
 def on_date(table: DataFrame, date: str | datetime.date | None) -> DataFrame:
-    """Rows whose window starts on ``date``; partition-pruned where the table has a ``dt`` column."""
+    """Rows whose window starts on ``date``; a stored table also skips other months' folders."""
     if date is None:
         return table
-    wanted = F.lit(str(date)).cast("date")
-    if "dt" in table.columns:
-        table = table.filter(F.col("dt").cast("date") == wanted)
-    return table.filter(F.to_date("stt") == wanted)
+    start = datetime.date.fromisoformat(str(date))
+    if "month" in table.columns:
+        table = table.filter(F.col("month") == start.year * 100 + start.month)
+    end = start + datetime.timedelta(days=1)
+    # A plain range on the stored column reaches the file scan.
+    midnight = lambda d: F.lit(str(d)).cast("timestamp_ntz")
+    return table.filter((F.col("stt") >= midnight(start)) & (F.col("stt") < midnight(end)))
 
 
 def _by_source(traffic: DataFrame, date, measure, name: str) -> DataFrame:

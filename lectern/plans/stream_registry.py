@@ -134,7 +134,7 @@ def _(spark, sf):
     name = "dws_examination_paper_score_duration_exam_window"
     to_window_table(windows.paper_scores(m.exams(spark, sf, stream)), root, name,
                     lambda sums: w.score_names(sums, m.papers(spark, sf)))
-    return read_window_table(spark, root, name).drop("ts", "dt").na.fill("-")
+    return read_window_table(spark, root, name).drop("ts", "month").na.fill("-")
 
 
 @query("stream_a16_course_review_window")
@@ -143,7 +143,7 @@ def _(spark, sf):
     name = "dws_interaction_course_review_window"
     to_window_table(windows.course_reviews(m.reviews(spark, sf, stream)), root, name,
                     lambda sums: w.review_names(sums, m.courses(spark, sf)))
-    return read_window_table(spark, root, name).drop("ts", "dt").na.fill("-")
+    return read_window_table(spark, root, name).drop("ts", "month").na.fill("-")
 
 
 @query("stream_a1_traffic_window")

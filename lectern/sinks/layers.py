@@ -67,16 +67,24 @@ def window_rows(df: DataFrame, name: str) -> DataFrame:
     return stamped(df.select("stt", "edt", *WINDOW_TABLES[name]))
 
 
+MONTH = "month"
+
+
 def write_window_table(df: DataFrame, path: str, name: str, number: int = 0) -> None:
-    """Write closed windows as batch ``number``, partitioned by day for the reports.
+    """Write closed windows as batch ``number``, in folders by month and sorted by time.
 
-    The rebalance hint lets Spark split a heavy day over several files and join light ones.
+    A report of one day reads one month's folder and, by the time ranges the files note, only the
+    row groups of that day. Folders by day would make years of backfill a heap of tiny files. The
+    rebalance hint lets Spark split a heavy month over several files and join light ones.
     """
-    rows = window_rows(df, name).withColumn("dt", F.date_format("stt", "yyyy-MM-dd")).hint("rebalance", "dt")
-    rows.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/{name}/batch_id={number}")
+    month = F.date_format("stt", "yyyyMM").cast("int")
+    rows = window_rows(df, name).withColumn(MONTH, month).hint("rebalance", MONTH)
+    target = f"{path}/{name}/batch_id={number}"
+    rows.sortWithinPartitions(MONTH, "stt").write.mode("overwrite").partitionBy(MONTH).parquet(target)
 
 
 def read_window_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """All batches of a window table, with the ``month`` folder column that reports prune by."""
     return spark.read.parquet(f"{path}/{name}").drop("batch_id")
 
 

@@ -11,6 +11,7 @@ from lectern.session import scratch_dir
 from lectern.sinks.layers import append_batch, read_layer, write_window_table
 from lectern.streaming.operators import ROCKS_DB, STATE_STORE
 
+PARTITIONS = "spark.sql.shuffle.partitions"
 BatchWriter = Callable[[DataFrame, int], None]
 
 
@@ -21,10 +22,25 @@ def start(df: DataFrame, write: BatchWriter, checkpoint: str, every: str | None
     The checkpoint keeps positions and state, and ``write`` may be called again with the same batch
     number after a failure, so it must be repeatable.
     """
+    spark = df.sparkSession
     # Timers and map state need the RocksDB store.
-    df.sparkSession.conf.set(STATE_STORE, ROCKS_DB)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    before = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, state_partitions(spark))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(PARTITIONS, before)
+
+
+def state_partitions(spark: SparkSession) -> str:
+    """State is split once, at a query's first start: by the session's own number if it names one,
+    else one part per core of the cluster."""
+    number = spark.conf.get(PARTITIONS)
+    named = number != "200" or spark.sparkContext.getConf().contains(PARTITIONS)
+    return number if named else str(spark.sparkContext.defaultParallelism)
 
 
 def to_layer(df: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -463,3 +463,19 @@ ORACLES |= {
     "stream_j3_bounded_join": """SELECT c.user_id, c.event_id AS click_id, b.event_id AS buy_id FROM events c JOIN events b ON c.user_id = b.user_id
         AND b.ts BETWEEN c.ts AND c.ts + INTERVAL 2 HOUR WHERE c.event_type = 'click' AND b.event_type = 'purchase'""",
 }
+
+# --- sinks -----------------------------------------------------------------------------------------
+
+ORACLES |= {
+    "k1_message_values": f"""WITH {CHANGES} SELECT 'dwd_trade_cart_add' AS topic, '{{"data":{{"user_id":"' || user_id || '"}},"ts":"' || ts || '"}}' AS value
+        FROM changes WHERE tab = 'cart_info'""",
+    "k2_messages_by_topic": f"""WITH {CHANGES} SELECT CASE WHEN tab = 'cart_info' THEN 'dwd_trade_cart_add' WHEN type = 'insert' THEN 'dwd_trade_order_head' ELSE 'dwd_trade_order_change' END AS topic,
+        CAST(count(*) AS BIGINT) AS message_count FROM changes WHERE tab IN ('cart_info', 'order_info') GROUP BY 1""",
+    "k3_upsert_messages": f"""WITH {DET}, f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_op_ts DESC, final_amount DESC) AS rn FROM det)
+        SELECT id, strftime(row_op_ts, {MICROS}) AS row_op_ts, CAST(final_amount AS DOUBLE) AS final_amount FROM f WHERE rn = 1""",
+    "k4_dimension_upsert": """SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_acctbal > 5000 THEN s_name || ' v2' ELSE s_name END AS course_name,
+        CAST(s_nationkey AS VARCHAR) AS subject_id FROM supplier""",
+    "k5_dimension_columns": "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation",
+    "k6_k7_stored_window_table": ORACLES["r13_amount_by_province_of_day"],
+    "k8_dead_letters": ORACLES["p1_dirty_records"],
+}

@@ -9,8 +9,6 @@ from lectern.session import scratch_dir
 from lectern.sinks import dimensions, layers
 from lectern.sources import tables
 
-WINDOW = "stt timestamp_ntz, edt timestamp_ntz, back_count long, uv_count long, extra string"
-
 
 def routed(spark, *items):
     data = [("dim_a", "id", op, d, ts) for op, d, ts in items]
@@ -43,17 +41,18 @@ def test_layer_batches_count_once(spark):
     assert layers.read_layer(spark, path, df.schema).count() == 6
 
 
-def test_window_table_has_its_columns_and_prunes_by_day(spark):
+def test_window_table_has_its_columns_and_prunes_by_time(spark):
     path = scratch_dir(spark, "dws")
     df = spark.sql("""select timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(n) as stt,
         timestamp_ntz'2024-01-01 00:00:10' + make_dt_interval(n) as edt, 1L as back_count, 2L as uv_count, 'x' as extra
-        from values (0), (1) as t(n)""")
+        from values (0), (1), (40) as t(n)""")
     layers.write_window_table(df, path, "dws_user_login_window")
     table = layers.read_window_table(spark, path, "dws_user_login_window")
-    assert table.columns == ["stt", "edt", "back_count", "uv_count", "ts", "dt"]
+    assert table.columns == ["stt", "edt", "back_count", "uv_count", "ts", "month"]
     day = reports.on_date(table, "2024-01-02")
     assert day.count() == 1
-    assert "PartitionFilters: [isnotnull(dt" in day._jdf.queryExecution().toString()
+    plan = day._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "GreaterThanOrEqual(stt" in plan
 
 
 def test_message_values(spark):
