@@ -15,6 +15,12 @@ DATE_FORMAT = "yyyy-MM-dd"
 DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 DATE_NUMBER_FORMAT = "yyyyMMdd"
 
+# Times inside JSON text keep their microseconds.
+JSON_TIMES = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 

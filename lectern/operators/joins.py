@@ -74,13 +74,13 @@ def devices(log: DataFrame) -> DataFrame:
     )
 
 
-def registrations(users: DataFrame, log: DataFrame) -> DataFrame:
+def registrations(users: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """New users with the device they were seen on (left)."""
     known = users.select(
         F.col("id").alias("user_id"), F.col("create_time").alias("register_time"),
         date_text("create_time").alias("register_date"), "ts",
     )
-    joined = known.join(devices(log), "user_id", "left")
+    joined = join_unique(known, devices(log), ["user_id"], ["ts"], "left", hot_rows=hot_rows, salts=salts)
     return joined.select("user_id", "register_time", "register_date",
                          *[n for n in DEVICE_FIELDS if n != "user_id"], "ts")
 

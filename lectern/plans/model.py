@@ -14,7 +14,7 @@ from lectern.functions.timefn import datetime_text, micros, to_millis
 from lectern.operators.joins import order_details, paid_details, registrations
 from lectern.operators.keyed import repair_new_flag
 from lectern.operators.neighbours import with_neighbours
-from lectern.operators.skew import HOT_ROWS
+from lectern.operators.skew import HOT_ROWS, join_unique
 from lectern.session import stored
 from lectern.sources.schemas import PAID
 
@@ -117,8 +117,8 @@ def search_log(spark: SparkSession, sf: str, read=table) -> DataFrame:
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     """Order heads; the province is the buyer's nation."""
     head = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    who = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    return head.join(who, head["o_custkey"] == who["c_custkey"]).select(
+    who = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return join_unique(head, who, ["o_custkey"], ["o_orderkey"], "inner").select(
         _text(F.col("o_orderkey")).alias("id"), _text(F.col("o_custkey")).alias("user_id"),
         _text(F.col("o_custkey")).alias("session_id"), _text(F.col("c_nationkey")).alias("province_id"),
         F.concat(F.lit("trade-"), "o_orderkey").alias("out_trade_no"), F.col("o_orderpriority").alias("trade_body"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions.timefn import JSON_TIMES
 from lectern.operators import keyed, parse, routing
 from lectern.plans import model as m
 from lectern.plans import reports as r
@@ -35,7 +36,7 @@ def _(spark, sf):
     """Versions sent as key and value, then read and compacted by their key."""
     rows = m.details(spark, sf).select("id", "row_op_ts", "final_amount")
     sent = layers.upsert_values(rows, "id")
-    back = sent.select(F.from_json("value", rows.schema).alias("r")).select("r.*")
+    back = sent.select(F.from_json("value", rows.schema, JSON_TIMES).alias("r")).select("r.*")
     return keyed.latest_version(back, ["id"], "row_op_ts")
 
 

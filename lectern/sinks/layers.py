@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.functions.timefn import JSON_TIMES
 from lectern.operators.windows import stamped
 from lectern.sources.schemas import WINDOW_TABLES
 
@@ -34,13 +35,14 @@ def message_values(df: DataFrame, topic: str | None = None) -> DataFrame:
     The topic column does not go into the payload. Feed this to a Kafka writer, or ``value`` to files.
     """
     payload = [c for c in df.columns if c != topic]
-    value = F.to_json(F.struct(*payload)).alias("value")
+    value = F.to_json(F.struct(*payload), JSON_TIMES).alias("value")
     return df.select(value) if topic is None else df.select(F.col(topic).alias("topic"), value)
 
 
 def upsert_values(df: DataFrame, key: str) -> DataFrame:
     """Rows as JSON ``key`` and ``value``; readers keep the latest version per key."""
-    return df.select(F.to_json(F.struct(key)).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+    return df.select(F.to_json(F.struct(key), JSON_TIMES).alias("key"),
+                     F.to_json(F.struct(*df.columns), JSON_TIMES).alias("value"))
 
 
 def write_kafka(values: DataFrame, servers: str, topic: str | None = None) -> None:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.functions.timefn import as_instant, from_micros, micros
+from lectern.functions.timefn import JSON_TIMES, as_instant, from_micros, micros
 from lectern.operators.windows import WINDOW
 from lectern.streaming.processors import (
-    BounceDetector, DailyFirst, FirstLogin, FlagRepair, LatestVersion, earliest_per_day,
+    BounceDetector, DailyFirst, FirstLogin, FlagRepair, LatestVersion, earliest_per_day, latest_per_key,
 )
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -31,7 +31,7 @@ IN_ORDER = "0 seconds"
 def _packed(df: DataFrame, keys: list[str], ts: str, **more: Column) -> DataFrame:
     others = [c for c in df.columns if c != ts]
     names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    return df.select(*names, micros(ts).alias("at"), F.to_json(F.struct(*others)).alias("row"),
+    return df.select(*names, micros(ts).alias("at"), F.to_json(F.struct(*others), JSON_TIMES).alias("row"),
                      *[c.alias(n) for n, c in more.items()])
 
 
@@ -41,7 +41,7 @@ def _timed(packed: DataFrame, late: str) -> DataFrame:
 
 def _unpacked(df: DataFrame, schema: StructType, ts: str, *others: str) -> DataFrame:
     inner = StructType([f for f in schema.fields if f.name != ts])
-    read = df.withColumn("_r", F.from_json("row", inner))
+    read = df.withColumn("_r", F.from_json("row", inner, JSON_TIMES))
     return read.select(*[F.col("_r")[f.name].alias(f.name) if f.name != ts else from_micros("at").alias(ts)
                          for f in schema.fields], *others)
 
@@ -105,9 +105,17 @@ def first_logins(log: DataFrame, hold_seconds: int = 10, key: str = "mid", ts: s
 
 
 def latest_version(df: DataFrame, key: str, version: str, hold_ms: int = 5_000, keep_ms: int = 60_000) -> DataFrame:
-    """Upsert compaction on the wall clock; the rows' own times stay in their columns."""
+    """Upsert compaction on the wall clock; ``version`` is a timestamp.
+
+    Each task sends only the greatest version per key of every chunk.
+    """
     packed = _packed(df.filter(F.col(key).isNotNull()), [key], version)
-    found = packed.groupBy("_k0").transformWithStateInPandas(
+
+    def reduce_chunks(chunks):
+        for chunk in chunks:
+            yield latest_per_key(chunk, ["_k0"])
+
+    found = packed.mapInPandas(reduce_chunks, packed.schema).groupBy("_k0").transformWithStateInPandas(
         LatestVersion(hold_ms, keep_ms), LatestVersion.output, "Append", "ProcessingTime")
     return _unpacked(found, df.schema, version)
 
@@ -137,18 +145,25 @@ def play_sessions(plays: DataFrame, gap_seconds: int = 3, key: str = "sid", ts:
                           F.col("_tail")["position_sec"].alias("position_sec"), F.col("_head")[ts].alias(ts))
 
 
-def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], after: str, before: str, how: str = "inner") -> DataFrame:
+def bounded_join(
+    left: DataFrame, right: DataFrame, keys: list[str], after: str, before: str, how: str = "inner", salts: int = 4,
+) -> DataFrame:
     """Stream-stream join of two sides that carry ``event_ts``.
 
     A right row matches if its time lies from ``before`` earlier to ``after`` later than the left
     row's. The bound and the watermarks let Spark drop old state; with ``left`` the unmatched rows
-    come out when the watermark has passed them.
+    come out when the watermark has passed them. A stream cannot count its hot keys beforehand, so
+    every key is spread: a left row goes to one of ``salts`` parts, a right row to each of them.
     """
+    spread = F.pmod(F.xxhash64(*[c for c in left.columns if c != "event_ts"]), F.lit(salts)).cast("int")
+    left = left.withColumn("_salt", spread)
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keys = [*keys, "_salt"]
     other = right.select(*[F.col(c).alias("_r_" + c) if c in (*keys, "event_ts") else F.col(c) for c in right.columns])
     on = F.expr(f"_r_event_ts >= event_ts - interval {before} and _r_event_ts <= event_ts + interval {after}")
     for k in keys:
         on = on & (left[k] == other["_r_" + k])
-    return left.join(other, on, how).drop(*["_r_" + k for k in keys])
+    return left.join(other, on, how).drop(*["_r_" + k for k in keys], "_salt")
 
 
 def order_details(details: DataFrame, orders: DataFrame, page_log: DataFrame, bound: str = "10 seconds", late: str = LATE) -> DataFrame:

@@ -33,6 +33,12 @@ def earliest_per_day(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return ordered.drop_duplicates([*keys, "_day"], ignore_index=True).drop(columns="_day")
 
 
+def latest_per_key(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The greatest version of each key within one chunk."""
+    ordered = frame.sort_values(["at", "row"], ignore_index=True)
+    return ordered.drop_duplicates(keys, keep="last", ignore_index=True)
+
+
 class DailyFirst(StatefulProcessor):
     """The first row of each key on each day later than the last one seen; older days are dropped.
 

@@ -11,6 +11,7 @@ from lectern.session import scratch_dir
 from lectern.sinks.layers import append_batch, read_layer, write_window_table
 from lectern.streaming.operators import ROCKS_DB, STATE_STORE
 
+LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 PARTITIONS = "spark.sql.shuffle.partitions"
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -25,6 +26,8 @@ def start(df: DataFrame, write: BatchWriter, checkpoint: str, every: str | None
     spark = df.sparkSession
     # Timers and map state need the RocksDB store.
     spark.conf.set(STATE_STORE, ROCKS_DB)
+    # Sessions of one key meet within each task before the shuffle.
+    spark.conf.set(LOCAL_SESSIONS, "true")
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     before = spark.conf.get(PARTITIONS)
