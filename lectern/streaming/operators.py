@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from lectern.functions.timefn import JSON_TIMES, as_instant, from_micros, micros
 from lectern.operators.windows import WINDOW
 from lectern.streaming.processors import (
-    BounceDetector, DailyFirst, FirstLogin, FlagRepair, LatestVersion, earliest_per_day, latest_per_key,
+    BounceDetector, DailyFirst, FirstLogin, FlagRepair, LatestVersion, first_rows, latest_per_key,
 )
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -50,21 +50,24 @@ def _keys(n: int) -> list[str]:
     return [f"_k{i}" for i in range(n)]
 
 
-def daily_first(df: DataFrame, keys: list[str], ts: str = "ts", late: str = LATE, forget: bool = True) -> DataFrame:
-    """First row of each key and day, plus ``last_day`` and the event time ``event_ts``.
-
-    Before the shuffle each task keeps only the earliest row per key and day of every chunk, so a
-    hot key sends few rows to its state.
-    """
+def _first_rows(df: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
     names = _keys(len(keys))
     packed = _packed(df, keys, ts)
 
     def reduce_chunks(chunks):
         for chunk in chunks:
-            yield earliest_per_day(chunk, names)
+            yield first_rows(chunk, names)
+
+    return _timed(packed.mapInPandas(reduce_chunks, packed.schema), late)
+
 
-    reduced = _timed(packed.mapInPandas(reduce_chunks, packed.schema), late)
-    first = reduced.groupBy(*names).transformWithStateInPandas(
+def daily_first(df: DataFrame, keys: list[str], ts: str = "ts", late: str = LATE, forget: bool = True) -> DataFrame:
+    """First row of each key and day, plus ``last_day`` and the event time ``event_ts``.
+
+    Before the shuffle each task keeps only the earliest row per key and day of every chunk, so a
+    hot key sends few rows to its state.
+    """
+    first = _first_rows(df, keys, ts, late).groupBy(*_keys(len(keys))).transformWithStateInPandas(
         DailyFirst(forget), DailyFirst.output, "Append", "EventTime", eventTimeColumnName="event_ts")
     return _unpacked(first, df.schema, ts, "last_day", "event_ts")
 
@@ -98,8 +101,7 @@ def bounces(page_log: DataFrame, within_seconds: int = 10, key: str = "mid", ts:
 
 
 def first_logins(log: DataFrame, hold_seconds: int = 10, key: str = "mid", ts: str = "ts", late: str = LATE) -> DataFrame:
-    packed = _timed(_packed(log.filter(F.col("uid").isNotNull()), [key], ts), late)
-    found = packed.groupBy("_k0").transformWithStateInPandas(
+    found = _first_rows(log.filter(F.col("uid").isNotNull()), [key], ts, late).groupBy("_k0").transformWithStateInPandas(
         FirstLogin(hold_seconds), FirstLogin.output, "Append", "EventTime")
     return _unpacked(found, log.schema, ts)
 

@@ -33,6 +33,12 @@ def earliest_per_day(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return ordered.drop_duplicates([*keys, "_day"], ignore_index=True).drop(columns="_day")
 
 
+def first_rows(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """``earliest_per_day`` plus the chunk's last row, so that the watermark moves as with all rows."""
+    last = frame.loc[[frame["at"].idxmax()]] if len(frame) else frame
+    return pd.concat([earliest_per_day(frame, keys), last], ignore_index=True)
+
+
 def latest_per_key(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """The greatest version of each key within one chunk."""
     ordered = frame.sort_values(["at", "row"], ignore_index=True)

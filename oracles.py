@@ -421,8 +421,8 @@ ORACLES |= {
     "r24_score_distribution": f"WITH {SCORES} SELECT score_duration, {big('user_count', 'exam_taken_count')} FROM a14 GROUP BY 1 ORDER BY 1",
     "r25_questions_by_accuracy": f"""WITH {ANSWERS} SELECT question_id, {big('correct_answer_count', 'correct_answer_count')}, {big('answer_count', 'answer_count')}, {share('correct_answer_count', 'answer_count')} AS accuracy_rate,
         substring(md5(max(p_name)), 1, 10) AS question_digest FROM a15 GROUP BY question_id ORDER BY CAST(sum(a15.correct_answer_count) AS DOUBLE) / sum(a15.answer_count) DESC, 1 LIMIT 10""",
-    "r26_chapters": f"""WITH {CHAPTERS} SELECT chapter_name, {big('play_count', 'play_count')}, {big('play_total_sec', 'play_total_sec')}, {big('play_uu_count', 'play_uu_count')},
-        {share('play_total_sec', 'play_uu_count')} AS sec_per_user FROM (SELECT nullif(chapter_name, '-') AS chapter_name, play_count, play_total_sec, play_uu_count FROM a6) a6x GROUP BY 1 ORDER BY 3 DESC, 2 DESC, 4 DESC, 1 LIMIT 10""",
+    "r26_chapters": f"""WITH {CHAPTERS} SELECT coalesce(chapter_name, '-') AS chapter_name, {big('play_count', 'play_count')}, {big('play_total_sec', 'play_total_sec')}, {big('play_uu_count', 'play_uu_count')},
+        {share('play_total_sec', 'play_uu_count')} AS sec_per_user FROM (SELECT nullif(chapter_name, '-') AS chapter_name, play_count, play_total_sec, play_uu_count FROM a6) a6x GROUP BY a6x.chapter_name ORDER BY 3 DESC, 2 DESC, 4 DESC, 1 LIMIT 10""",
 }
 
 
@@ -449,11 +449,11 @@ ORACLES |= {
         SELECT sid, arg_min(video_id, ts) AS video_id, CAST(sum(play_sec) AS BIGINT) AS play_sec, arg_max(position_sec, ts) AS position_sec,
         strftime(min(ts), {MICROS}) AS ts FROM n GROUP BY sid, no HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 5 SECOND FROM plays)""",
     "stream_a2_keyword_window": ORACLES["a2_keyword_window"] + " WHERE " + closed("w", HOUR, "hits", "3 SECOND"),
-    "stream_a3_page_view_window": ORACLES["a3_page_view_window"] + " WHERE " + closed("w", HOUR, "firsts", "5 SECOND"),
-    "stream_a4_user_login_window": ORACLES["a4_user_login_window"] + " WHERE " + closed("w", HOUR, "ldays", "5 SECOND"),
+    "stream_a3_page_view_window": ORACLES["a3_page_view_window"] + " WHERE " + closed("w", HOUR, "(SELECT ts FROM ev WHERE page_id IN ('home', 'course_list', 'course_detail'))", "5 SECOND"),
+    "stream_a4_user_login_window": ORACLES["a4_user_login_window"] + " WHERE " + closed("w", HOUR, "(SELECT ts FROM ev WHERE event_type = 'view')", "5 SECOND"),
     "stream_a1_traffic_window": f"WITH {RAW_TRAFFIC} SELECT {bounds('w', HOUR)}, * EXCLUDE (w) FROM traffic WHERE " + closed("w", HOUR, "measures", "10805 SECOND"),
     "stream_a6_video_play_window": f"WITH {CHAPTERS} SELECT {bounds('w', HOUR)}, video_id, CAST(pc AS BIGINT) AS play_count, CAST(ps AS BIGINT) AS play_total_sec, CAST(pu AS BIGINT) AS play_uu_count FROM pv WHERE " + closed("w", HOUR, "plays", "5 SECOND"),
-    "stream_a7_cart_add_window": ORACLES["a7_cart_add_window"] + " WHERE " + closed("w", HOUR, "cdays", "5 SECOND"),
+    "stream_a7_cart_add_window": ORACLES["a7_cart_add_window"] + " WHERE " + closed("w", HOUR, "(SELECT ts FROM ev WHERE event_type = 'purchase')", "5 SECOND"),
     "stream_a10_province_order_window": f"WITH {PROVINCES} SELECT {bounds('w', TEN)}, province_id, order_total_amount, order_uu_count, order_count FROM a10 WHERE " + closed("w", TEN, "ord", "5 SECOND"),
     "stream_a13_paper_exam_window": f"WITH {EXAMS} SELECT {bounds('w', TEN)}, paper_id, exam_taken_count, exam_total_score, exam_total_during_sec FROM a13 WHERE "
         + "w + INTERVAL 10 SECOND <= (SELECT max(l_shipdate) - INTERVAL 5 SECOND FROM lineitem)",
