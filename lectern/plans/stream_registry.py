@@ -41,7 +41,7 @@ def page_log_layer(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """The page log written as a layer for the streams that read it."""
     path = scratch_dir(spark, "page_log")
     log = m.raw_page_log(spark, sf)
-    log.write.parquet(path + "/batch_id=0")
+    log.write.parquet(path)
     return path, log
 
 

@@ -1,7 +1,9 @@
 """Ingest jobs: raw log to fact layers, change rows to dimension and fact tables.
 
-Each job works through what its source holds and stops, or runs on when given ``every``. A job's
-batch writer can be called twice with the same batch number: it replaces that batch's folders.
+Each job works through what its source holds and stops, or runs on when given ``every``. A job has
+several targets, so it writes each batch itself, to folders named by the batch's number, and replaces
+them when a batch comes again. Read these layers as tables, or as streams behind finished batches only:
+a stream that already took the first attempt's files would see the second's as new.
 """
 
 from __future__ import annotations

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from lectern.session import scratch_dir
-from lectern.sinks.layers import append_batch, read_layer, write_window_table
+from lectern.sinks.layers import write_window_table
 from lectern.streaming.operators import ROCKS_DB, STATE_STORE
 
 LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
@@ -16,19 +16,13 @@ PARTITIONS = "spark.sql.shuffle.partitions"
 BatchWriter = Callable[[DataFrame, int], None]
 
 
-def start(df: DataFrame, write: BatchWriter, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Start a query that hands each micro-batch to ``write``.
-
-    Without ``every`` it works through what is there and stops; with it (``'10 seconds'``) it runs on.
-    The checkpoint keeps positions and state, and ``write`` may be called again with the same batch
-    number after a failure, so it must be repeatable.
-    """
+def _begin(df: DataFrame, writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
     spark = df.sparkSession
     # Timers and map state need the RocksDB store.
     spark.conf.set(STATE_STORE, ROCKS_DB)
     # Sessions of one key meet within each task before the shuffle.
     spark.conf.set(LOCAL_SESSIONS, "true")
-    writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = writer.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     before = spark.conf.get(PARTITIONS)
     spark.conf.set(PARTITIONS, state_partitions(spark))
@@ -38,6 +32,16 @@ def start(df: DataFrame, write: BatchWriter, checkpoint: str, every: str | None
         spark.conf.set(PARTITIONS, before)
 
 
+def start(df: DataFrame, write: BatchWriter, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Start a query that hands each micro-batch to ``write``.
+
+    Without ``every`` it works through what is there and stops; with it (``'10 seconds'``) it runs on.
+    The checkpoint keeps positions and state, and ``write`` may be called again with the same batch
+    number after a failure, so it must be repeatable.
+    """
+    return _begin(df, df.writeStream.foreachBatch(write), checkpoint, every)
+
+
 def state_partitions(spark: SparkSession) -> str:
     """State is split once, at a query's first start: by the session's own number if it names one,
     else one part per core of the cluster."""
@@ -47,9 +51,13 @@ def state_partitions(spark: SparkSession) -> str:
 
 
 def to_layer(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run a query to the end of its input, then read its layer as a table."""
-    start(df, append_batch(path), checkpoint).awaitTermination()
-    return read_layer(df.sparkSession, path, df.schema)
+    """Run a query to the end of its input, then read its layer as a table.
+
+    The file sink notes which files belong to finished batches, and the readers of a layer, streams
+    and tables alike, go by those notes: each row counts once also after a failure.
+    """
+    _begin(df, df.writeStream.format("parquet").option("path", path), checkpoint, None).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def to_window_table(sums: DataFrame, path: str, name: str, naming: Callable[[DataFrame], DataFrame] = lambda df: df,
@@ -76,4 +84,4 @@ def scratch_layer(df: DataFrame, name: str) -> DataFrame:
 
 def layer_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The next query's view of a layer: its files as a stream."""
-    return spark.readStream.schema(like.schema).parquet(path + "/batch_id=*")
+    return spark.readStream.schema(like.schema).parquet(path)
