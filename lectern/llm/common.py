@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import lectern.llm
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.session import stored
 
+# functions of this package travel to the executors with their code, which therefore need no copy of it
+cloudpickle.register_pickle_by_value(lectern.llm)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
