@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact, lines, sharding, simhash  # noqa: F401
+from lectern.llm import bpe, exact, lines, packing, sharding, simhash  # noqa: F401
 from lectern.llm.common import ORACLES, QUERIES  # noqa: F401
