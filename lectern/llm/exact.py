@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import query, stored, table, tasks
 
+#: Splitters are made of so many characters from the beginning of sampled texts, which the driver receives.
+SPLITTER_CHARS = 64
+
 
 def exact_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest", normalise: Callable[[Column], Column] = lambda t: t
 ) -> DataFrame:
     """One row per document: ``key``, keep_id, group_size (long), kept, text_sha256 of the normalised text.
 
-    Texts are range-partitioned by their bytes at splitters that Spark samples, sorted on disk if need be, and
-    compared in full with their neighbours (a sorted aggregate). A range is over (text, salt), so a text that a third
-    of all rows share is cut into as many ranges as its weight asks for; each gives one row. These rows are few bytes
-    long and are summed by the text's SHA-256, under which every document then finds its group.
+    Texts are range-partitioned by their first bytes at splitters that Spark samples, sorted whole, on disk if need be,
+    and compared in full with their neighbours (a sorted aggregate). A range is over (beginning, salt), so a text or a
+    beginning that a third of all rows share is cut into as many ranges as its weight asks for; each text gives one
+    row for each. These rows are few bytes long and are summed by the text's SHA-256, under which every document then
+    finds its group.
 
     keep: "smallest" or "largest" id of equal texts stays. A null text counts as empty. Null ids are counted in
     their group and stay only if all ids of the group are null. Rows that share id and text share their result, and
@@ -32,8 +36,9 @@ def exact_groups(
     best = (lambda c: F.min(F.struct(c.isNull(), c.alias("id")))) if keep == "smallest" else (lambda c: F.max(F.struct(c.isNotNull(), c.alias("id"))))
     runs = (
         rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(tasks(docs.sparkSession))))
-        .repartitionByRange("content", "salt")
-        .groupBy("content", "salt")
+        .withColumn("lead", F.substring("content", 1, SPLITTER_CHARS))
+        .repartitionByRange("lead", "salt")
+        .groupBy("lead", "salt", "content")
         .agg(best(F.col("id")).alias("best"), F.count("*").alias("n"))
         .select(F.sha2("content", 256).alias("sha"), F.col("best.id").alias("id"), "n")
     )
