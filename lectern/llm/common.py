@@ -84,3 +84,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if same:
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def hashed_share(key: Column, share: float | Column) -> Column:
+    """True for about that share of the keys, the same ones on every run."""
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < share * F.lit(float(1 << 30))

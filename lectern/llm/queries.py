@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, embeddings, exact, lines, packing, sharding, simhash  # noqa: F401
+from lectern.llm import bpe, embeddings, exact, language, lines, packing, sharding, simhash, toxicity  # noqa: F401
 from lectern.llm.common import ORACLES, QUERIES  # noqa: F401
