@@ -18,8 +18,8 @@ from lectern.llm.common import hashed_share, query, stored, table
 SAMPLE_ROWS, FEATURES = 20_000, 4096
 #: A word's features: itself and its first letters, which words of one stem share.
 PREFIXES = (4, 5, 6)
-#: Likelihood ratio (in nats) that a feature must reach, so that none of some 100,000 candidates is chosen by chance.
-LEAST_RATIO = 10.0
+#: Likelihood ratio (in nats) that a feature must reach, so that few of 100,000 candidates are chosen by chance.
+LEAST_RATIO = 6.0
 #: Texts that a feature must be in; grades of toxic texts, by how much of what marks toxic texts they hold.
 LEAST_TEXTS, TOXIC_GRADES = 3, 3
 #: Ridge penalty per text, steps of the fit.
