@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import query, table
-from lectern.llm.tokens import WordEncoder, public, text_blocks
+from lectern.llm.tokens import ByteEncoder, public, text_blocks
 
 CAPACITY = 1024
 #: Bins that one task keeps open.
@@ -30,7 +30,7 @@ def token_pieces(docs: DataFrame, tokens: str, key: str = "doc_id", text: str =
     """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokens, " ")
+        encoder = ByteEncoder(tokens)
         for frame in frames:
             keys, texts = frame["key"], frame["text"].fillna("").tolist()
             for low, high in text_blocks(texts):
@@ -85,14 +85,15 @@ class Bins:
 def best_fit(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """All columns of the pieces, sequence_id and offset (long): the sequence of each piece and its place there.
 
+    Columns of the pieces that have these two names are replaced.
+
     Pieces are dealt out to tasks by a hash of their row and packed online in the hash's order, which mixes lengths; a
     task holds ``open_bins`` bins and closes the fullest when it needs another. Each task leaves a few bins half full,
     so tasks should have many more pieces than there are lengths: the number of tasks is left to adaptive execution.
     Sequences have no gaps; numbers are unique, in no order. Pieces of no or null length take no room: their sequence
     and offset are null. A piece longer than the capacity raises. Rows that repeat are pieces each.
     """
-    if {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}:
-        raise ValueError("the pieces have a column sequence_id or offset")
+    pieces = pieces.select(*[f"`{c}`" for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
     names = [f"`{c}`" for c in pieces.columns]
     hashed = [n for n, f in zip(names, pieces.schema, strict=True) if f.dataType.typeName() not in ("map", "variant")]
     n = F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0).cast("long"))

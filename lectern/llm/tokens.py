@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
 #: Characters of text that are encoded at a time, and words whose ids a task remembers.
-BLOCK_CHARS, WORDS = 1 << 21, 200_000
+BLOCK_CHARS, WORDS = 1 << 21, 400_000
+STOPS = ",."
+#: How byte-level vocabularies write the bytes: printable Latin-1 characters as themselves, the others from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in _PLAIN)} | {chr(b): b for b in _PLAIN}
+#: Characters of one kind in a row from which on a text is left to the library.
+LONG_RUN = 256
 
 
 def public(name: str) -> str:
@@ -42,43 +49,68 @@ def text_blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+class ByteEncoder:
+    """The library's ids of whole texts for a byte-level vocabulary whose ids are the order of its merges.
+
+    Such a vocabulary is a table of ranks, which the library for those encodes several times as fast, with equal ids.
+    Texts in which a special token's text occurs, and texts with very long runs without or of white space, on which that
+    library takes the square of the run's length, go to the tokenizer itself.
+    """
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.tokenizer = tokenizer(path)
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(BYTES[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.slow = re.compile("|".join([*map(re.escape, special), rf"\S{{{LONG_RUN}}}", rf"\s{{{LONG_RUN}}}"]))
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for text in texts:
+            if self.slow.search(text):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            else:
+                yield np.array(self.ranks.encode_ordinary(text), np.int32)
+
+
 class WordEncoder:
-    """The library's ids of whole texts, word by word.
+    """The library's ids of whole texts, word by word, for a tokenizer that drops white space.
 
-    ``space``: what a word takes of the space before it: " " (byte-level vocabularies, whose words start with it) or ""
-    (vocabularies that drop white space). A single space between two other characters that aren't white space is then a
-    place where the tokenizer always cuts, so a text's ids are its words' ids in a row. Texts with other white space
-    beside a space are encoded whole.
+    It always cuts at a space, so a text's ids are its words' ids in a row, and words recur.
     """
 
-    def __init__(self, path: str, space: str):
-        self.tokenizer, self.space = tokenizer(path), space
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.stops = dict(zip(STOPS, self._ids(list(STOPS)), strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words; one of ASCII letters alone is one piece to the tokenizer's model, which is asked at once."""
+        rest = []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                yield w, array("i", [t.id for t in self.model.tokenize(w.lower())]).tobytes()
+            else:
+                rest.append(w)
+        yield from zip(rest, self._ids(rest), strict=True)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for low, high in text_blocks(texts):
-            yield from self._block(texts[low:high])
-
-    def _ids(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.known) > WORDS:
-            self.known = {}
-        known = self.known
-        split = [t.split(" ") for t in texts]
-        new = [w for w in {w for words in split for w in words[1:] if w not in known} if w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(zip(new, self._ids([self.space + w for w in new]), strict=True))
-        heads = self._ids([words[0] if self._cut(words) else "" for words in split])
-        for text, words, head in zip(texts, split, heads, strict=True):
-            if self._cut(words):
-                try:
-                    yield np.fromiter(chain(head, chain.from_iterable(map(known.__getitem__, words[1:]))), np.int32)
-                    continue
-                except KeyError:
-                    pass
-            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-
-    @staticmethod
-    def _cut(words: list[str]) -> bool:
-        return bool(words[0]) and not words[0][-1].isspace()
+            split = [t.split(" ") for t in texts[low:high]]
+            there = {w for words in split for w in words}
+            new = there.difference(self.known)
+            if len(self.known) + len(new) > WORDS:
+                self.known, new = {}, there
+            # a tokenizer also cuts between a letter or digit and a comma or full stop
+            stopped = [w for w in new if w[-1:] in self.stops and w[-2:-1].isalnum()]
+            bare = {*new.difference(stopped), *(w[:-1] for w in stopped)}.difference(self.known)
+            self.known.update(self._words(list(bare)))
+            self.known.update((w, self.known[w[:-1]] + self.stops[w[-1]]) for w in stopped)
+            for words in split:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
