@@ -50,20 +50,23 @@ def _agreeing(window: Span, side: Span) -> np.ndarray:
     return np.array([k for k in np.flatnonzero(ours).tolist() if (int(window.starts[k]), int(window.ends[k]), int(window.ids[k])) in there], np.int64)
 
 
-def join(encoder, text: str, left: Span, right: Span, low: int, high: int, origin: int = 0) -> Span:
-    """The ids of text[low:high] from those of its two parts.
+def join(encoder, text: str, left: Span, right: Span, low: int, middle: int, high: int, reach: int) -> Span:
+    """The ids of text[low:high] from those of its parts before and after ``middle``.
 
     The text around the join is encoded anew, from a token that the left part has to one that the right part has, until
     the new ids share a token with each part. Any two neighbours of the result are then neighbours in one encoding, and
     a row of tokens whose neighbours all are so is the encoding itself. A window that holds a whole part agrees with it.
-    Places count from ``origin``, where ``text`` begins.
+    It goes at least ``reach`` characters to both sides, so that a special token across the join lies in it.
     """
     k = WINDOW
     while True:
         whole_left, whole_right = k >= len(left.ids), k >= len(right.ids)
         a = low if whole_left else int(left.starts[-k])
         b = high if whole_right else int(right.ends[k - 1])
-        window = encode_span(encoder, text[a - origin : b - origin], a)
+        if (a > middle - reach and not whole_left) or (b < middle + reach and not whole_right):
+            k *= 2
+            continue
+        window = encode_span(encoder, text[a:b], a)
         tail = left.cut(max(0, len(left.ids) - k), len(left.ids))
         head = right.cut(0, k)
         first = 0 if whole_left else next(iter(_agreeing(window, tail).tolist()), None)
@@ -78,8 +81,9 @@ def join(encoder, text: str, left: Span, right: Span, low: int, high: int, origi
 
 def concatenate(encoder, text: str, spans: list[Span], cuts: list[int]) -> Span:
     """The tree's upper part: neighbours are joined two by two until one is left. cuts: where spans begin, and the end."""
+    reach = max((len(t.content) for t in encoder.get_added_tokens_decoder().values()), default=0)
     while len(spans) > 1:
-        joined = [join(encoder, text, spans[i], spans[i + 1], cuts[i], cuts[i + 2]) for i in range(0, len(spans) - 1, 2)]
+        joined = [join(encoder, text, spans[i], spans[i + 1], *cuts[i : i + 3], reach) for i in range(0, len(spans) - 1, 2)]
         spans = joined + spans[2 * len(joined) :]
         cuts = cuts[::2] if cuts[::2][-1] == cuts[-1] else [*cuts[::2], cuts[-1]]
     return spans[0]
@@ -93,9 +97,16 @@ def leaf_cuts(n: int, leaf: int) -> list[int]:
     return [n * i // parts for i in range(parts + 1)]
 
 
-def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def decode_all(decoder, ids) -> pd.Series:
+    return pd.Series([None if x is None else decoder.decode(np.asarray(x).tolist(), skip_special_tokens=False) for x in ids], dtype=object)
+
+
+def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS, decoded: str | None = None) -> DataFrame:
     """``key`` and ids (array of int) of every text, as the library encodes the whole text without special tokens.
 
+    With ``decoded``, a column of that name has the text that the ids decode to, as ``bpe_decode`` would add it, made by
+    the same tasks.
+
     tokens: path on every executor of the file of a tokenizer that drops white space and marks the ends of words.
     Short texts are encoded where they are read. A text of more than ``leaf_chars`` characters is cut into halves of
     halves, which other tasks encode, each in one piece, and one task joins: it holds one text and its ids. Joins need
@@ -107,12 +118,16 @@ def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
+    def answer(decoder, keys, ids: list[np.ndarray]) -> pd.DataFrame:
+        out = pd.DataFrame({"key": keys, "ids": ids})
+        return out.assign(**{decoded: decode_all(decoder, ids)}) if decoded else out
+
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokens, "")
+        encoder = WordEncoder(tokens)
         for frame in frames:
             for low in range(0, len(frame), 512):
                 some = frame.iloc[low : low + 512]
-                yield pd.DataFrame({"key": some["key"], "ids": list(encoder.encode(some["text"].tolist()))})
+                yield answer(encoder.tokenizer, some["key"].array, list(encoder.encode(some["text"].tolist())))
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokenizer(tokens)
@@ -120,7 +135,7 @@ def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "t
             for low in range(0, len(frame), 64):
                 some = frame.iloc[low : low + 64]
                 spans = [encode_span(encoder, t, a) for t, a in zip(some["text"], some["low"], strict=True)]
-                yield some.assign(ids=[s.ids for s in spans], starts=[s.starts for s in spans], ends=[s.ends for s in spans])
+                yield some.assign(ids=[s.ids for s in spans], starts=[s.starts.astype(np.int32) for s in spans], ends=[s.ends.astype(np.int32) for s in spans])
 
     loaded: dict = {}
 
@@ -129,9 +144,9 @@ def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "t
             loaded[tokens] = tokenizer(tokens)
         parts = parts.sort_values("low")
         whole = "".join(parts["text"])
-        spans = [Span(*(np.asarray(x) for x in row)) for row in zip(parts["ids"], parts["starts"], parts["ends"], strict=True)]
+        spans = [Span(*(np.asarray(x, np.int64) for x in row)) for row in zip(parts["ids"], parts["starts"], parts["ends"], strict=True)]
         ids = concatenate(loaded[tokens], whole, spans, [*parts["low"], len(whole)]).ids
-        return pd.DataFrame({"key": parts["key"].iloc[:1], "ids": [ids]})
+        return answer(loaded[tokens], parts["key"].iloc[:1].array, [ids])
 
     n = F.char_length("text")
     parts = F.pow(2.0, F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("n") / leaf_chars)))).cast("long")
@@ -144,8 +159,8 @@ def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "t
         .withColumns({"low": cut(F.col("i")), "high": cut(F.col("i") + 1)})
         .select("row", "key", "low", F.substring("text", F.col("low").cast("int") + 1, (F.col("high") - F.col("low")).cast("int")).alias("text"))
     )
-    encoded = pieces.repartition("row", "low").mapInPandas(leaves, f"row bigint, key {kind}, low bigint, text string, ids array<int>, starts array<bigint>, ends array<bigint>")
-    out = f"key {kind}, ids array<int>"
+    encoded = pieces.repartition("row", "low").mapInPandas(leaves, f"row bigint, key {kind}, low bigint, text string, ids array<int>, starts array<int>, ends array<int>")
+    out = f"key {kind}, ids array<int>" + (f", `{decoded}` string" if decoded else "")
     long = encoded.groupBy("row").applyInPandas(joined, out)
     return rows.where(n <= leaf_chars).mapInPandas(short, out).unionByName(long).withColumnRenamed("key", key)
 
@@ -163,8 +178,7 @@ def bpe_decode(coded: DataFrame, tokens: str, ids: str = "ids", decoded: str = "
         for frame in frames:
             for low in range(0, len(frame), 256):
                 some = frame.iloc[low : low + 256]
-                texts = [None if x is None else decoder.decode(np.asarray(x).tolist(), skip_special_tokens=False) for x in some[ids]]
-                yield some[rest].assign(**{decoded: texts})
+                yield some[rest].assign(**{decoded: decode_all(decoder, some[ids]).array})
 
     return coded.mapInPandas(batches, schema)
 
@@ -173,11 +187,10 @@ def bpe_decode(coded: DataFrame, tokens: str, ids: str = "ids", decoded: str = "
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Count and digest of every document's ids, and the digest of the text they decode to."""
     tokens = public("word_bpe_49k.json")
-    coded = bpe_encode(table(spark, folder, "documents"), tokens)
-    digests = coded.select(
+    coded = bpe_encode(table(spark, folder, "documents"), tokens, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return bpe_decode(digests, tokens).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
