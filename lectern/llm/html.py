@@ -129,7 +129,7 @@ def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
     width = 1
     while width < run:
         step = min(width, run - width)
-        after = np.append(rank[step:], np.full(step, -1)) + 1
+        after = np.append(rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64))
         rank = np.unique(rank * (int(after.max()) + 1) + after, return_inverse=True)[1]
         width += step
     order = np.argsort(rank, kind="stable")
@@ -148,8 +148,9 @@ def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
 def main_texts(pages: list[str | None], run: int = RUN) -> list[str]:
     """Main texts of pages of one host.
 
-    Blocks of an article stay as they are: what articles share is quoted or copied, not boilerplate. Outside it, tokens
-    that the suffix array covers go and unique runs stay, except in elements that by name hold no main text.
+    Blocks of an article stay as they are: what articles share is quoted or copied, not boilerplate. Outside it, blocks
+    that the suffix array covers go, and so do runs of ``run`` or more covered tokens in the others; unique runs stay,
+    except in elements that by name hold no main text.
     """
     numbers: dict[str, int] = {}
     blocks = [page_blocks(p) for p in pages]
@@ -164,6 +165,10 @@ def main_texts(pages: list[str | None], run: int = RUN) -> list[str]:
             if block.place == "article":
                 texts.append(block.text)
             elif block.place == "open" and not gone.all():
+                edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+                for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    if high - low < run:  # the end of a run from the block before, or the beginning of one
+                        gone[low:high] = False
                 texts.append(" ".join(t for t, g in zip(tokens, gone, strict=True) if not g))
         out.append("\n".join(texts))
     return out
