@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.timefn import date_text, micros
-from lectern.operators.skew import HOT_ROWS, SALTS, join_unique
+from lectern.operators.skew import SALTS, join_unique
 from lectern.operators.split import order_pages
 from lectern.sources.schemas import DEVICE_FIELDS
 
@@ -28,18 +28,16 @@ def order_details(
     details: DataFrame,
     orders: DataFrame,
     page_log: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
-    hot_sessions: DataFrame | None = None,
 ) -> DataFrame:
     """Order details with their order (inner) and the session's source (left).
 
-    The source is joined to the orders, which are fewer than the details. A hot order is salted.
-    Buyer and time come from the order where the details lack them. Give ``hot_sessions`` (from
-    ``hot_keys``) if they can be counted more cheaply than on ``orders``.
+    The source is joined to the orders, which are fewer than the details. With ``hot_rows`` hot keys are salted.
+    Buyer and time come from the order where the details lack them.
     """
     sourced = join_unique(orders, session_sources(page_log), ["session_id"], ["id"], "left",
-                          hot_sessions, hot_rows, salts)
+                          hot_rows=hot_rows, salts=salts)
     head = sourced.select(
         F.col("id").alias("order_id"), "out_trade_no", "trade_body", "session_id", "province_id", "source_id",
         *[c for c in ("user_id", "ts") if c in orders.columns and c not in details.columns],
@@ -53,7 +51,7 @@ def paid_details(
     within_seconds: int = 905,
     detail_ts: str = "ts",
     pay_ts: str = "ts",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Order details joined to their successful payments no later than ``within_seconds``."""
@@ -76,7 +74,7 @@ def devices(log: DataFrame) -> DataFrame:
     )
 
 
-def registrations(users: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def registrations(users: DataFrame, log: DataFrame, hot_rows: int | None = None, salts: int = SALTS) -> DataFrame:
     """New users with the device they were seen on (left)."""
     known = users.select(
         F.col("id").alias("user_id"), F.col("create_time").alias("register_time"),

@@ -7,12 +7,14 @@ sends one row per map task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.timefn import day, micros
 from lectern.operators.neighbours import with_neighbours
-from lectern.operators.skew import HOT_ROWS, SALTS, join_unique, slice_hot
+from lectern.operators.skew import HOT_ROWS, SALTS, join_unique
 
 DAY_MICROS = 86_400_000_000
 
@@ -22,7 +24,7 @@ def repair_new_flag(
     key: str = "mid",
     ts: str = "ts",
     flag: str = "is_new",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Correct the new-visitor flag of each row.
@@ -34,7 +36,7 @@ def repair_new_flag(
     # twice the time in microseconds, plus 1 when the row claims to be new.
     earliest = F.min(micros(ts) * 2 + F.when(F.col(flag) == "1", 1).otherwise(0))
     per_key = df.groupBy(key).agg(earliest.alias("_e"), F.count(F.lit(1)).alias("_n"))
-    hot = per_key.filter(F.col("_n") >= hot_rows).select(F.col(key).alias("_hot_" + key))
+    hot = None if hot_rows is None else per_key.filter(F.col("_n") >= hot_rows).select(F.col(key).alias("_hot_" + key))
     start = F.floor(F.floor(F.col("_e") / 2) / F.lit(DAY_MICROS)) - (1 - F.pmod(F.col("_e"), F.lit(2)))
     first = per_key.select(key, F.date_from_unix_date(start.cast("int")).alias("_first_day"))
     joined = join_unique(df, first, [key], [ts], "left", hot, salts=salts)
@@ -140,23 +142,20 @@ def flag_first(
     tie: list[str],
     flag: str,
     per_day: bool = True,
-    hot_rows: int = HOT_ROWS,
-    slice_seconds: int = 600,
 ) -> DataFrame:
-    """Keep all rows; 1 on the first row of each key (and day), 0 on the others."""
+    """Keep all rows; 1 on the first row of each key (and day), 0 on the others.
+
+    The first row is a minimum, partial before the shuffle, that joins back by key and order: no key's
+    rows are sorted or gathered. ``ts`` and ``tie`` must tell the rows of a key apart.
+    """
     named = df.withColumn("_day", day(ts)) if per_day else df.withColumn("_day", F.lit(None).cast("date"))
     group = [*keys, "_day"]
-    order = [ts, *tie]
-    sliced = slice_hot(named, group, ts, slice_seconds, hot_rows)
-    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
-    ranked = sliced.withColumn(flag, F.when(F.row_number().over(inside) == 1, 1).otherwise(0).cast("bigint"))
-    # Of a hot key, the first row of each slice meets the first rows of the other slices.
-    again = F.col("_slice").isNotNull() & (F.col(flag) == 1)
-    across = Window.partitionBy(*group).orderBy(*order)
-    heads = ranked.filter(again).withColumn(
-        flag, F.when(F.row_number().over(across) == 1, 1).otherwise(0).cast("bigint")
-    )
-    return ranked.filter(~again).unionByName(heads).drop("_day", "_slice")
+    order = F.struct(ts, *tie)
+    first = named.groupBy(*group).agg(F.min(order).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in group])
+    joined = named.withColumn("_order", order).alias("l").join(first.alias("r"), same)
+    one = F.when(F.col("_order") == F.col("_first"), 1).otherwise(0).cast("bigint").alias(flag)
+    return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], one)
 
 
 def first_times(df: DataFrame, keys: list[str], ts: str) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 def current_config(changes: DataFrame, keys: list[str], seq: str = "ts_ms") -> DataFrame:
     """Fold change rows ``op, before, after`` to the rows that hold now.
 
-    The last change of a key wins; a key whose last change is a delete has no row.
+    The last change of a key wins; a key whose last change is a delete has no row. Of changes of one
+    instant an update follows a creation and a delete follows both; ``seq`` may be any column that
+    orders the changes better, such as the offset of the message.
     """
     row = F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after"))
     rows = changes.select("op", seq, row.alias("_row")).select("op", seq, "_row.*")
-    last = Window.partitionBy(*keys).orderBy(F.col(seq).desc(), F.col("op"))
+    stage = F.when(F.col("op") == "d", 2).when(F.col("op") == "u", 1).otherwise(0)
+    last = Window.partitionBy(*keys).orderBy(F.col(seq).desc(), stage.desc())
     kept = rows.withColumn("_rn", F.row_number().over(last)).filter((F.col("_rn") == 1) & (F.col("op") != "d"))
     return kept.drop("op", seq, "_rn")
 

@@ -32,8 +32,11 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
 
 def mark_hot(df: DataFrame, keys: list[str], hot: DataFrame, flag: str = "_hot") -> DataFrame:
-    """Add a boolean: does the row belong to a hot key. ``hot`` comes from ``hot_keys``."""
-    listed = F.broadcast(hot.withColumn(flag, F.lit(True)))
+    """Add a boolean: does the row belong to a hot key. ``hot`` comes from ``hot_keys``.
+
+    There are at most N / ``hot_rows`` hot keys. Spark broadcasts their list if it finds it small enough.
+    """
+    listed = hot.withColumn(flag, F.lit(True))
     joined = df.join(listed, _same(df, listed, keys, "_hot_"), "left")
     return joined.drop(*["_hot_" + k for k in keys]).withColumn(
         flag, F.coalesce(F.col(flag), F.lit(False))
@@ -65,15 +68,19 @@ def join_unique(
     spread: list[str],
     how: str = "left",
     hot: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join facts, whose keys may be hot, to a table with one row per key.
 
-    Rows of hot keys get one of ``salts`` numbers from their ``spread`` columns, and only the hot keys' rows of ``per_key``
-    are repeated once per number. Spark itself turns this into a broadcast join when it finds
-    ``per_key`` small enough.
+    This is a plain join: Spark broadcasts a side it finds small enough, and splits a hot key's part by
+    the size it measures at run time. Where that can't be (a grouping by the same key right behind the
+    join, or adaptive execution off), name the hot keys (``hot``) or have them counted (``hot_rows``):
+    their rows get one of ``salts`` numbers from the ``spread`` columns, and only their rows of
+    ``per_key`` are repeated once per number.
     """
+    if hot is None and hot_rows is None:
+        return facts.join(per_key, keys, how)
     hot = hot_keys(facts, keys, hot_rows) if hot is None else hot
     number = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = mark_hot(facts, keys, hot).withColumn("_salt", F.when(F.col("_hot"), number).otherwise(F.lit(0)))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from lectern.functions.measures import money
 from lectern.functions.timefn import datetime_text, micros, to_millis
 from lectern.operators.joins import order_details, paid_details, registrations
-from lectern.operators.keyed import repair_new_flag
+from lectern.operators.keyed import first_logins, repair_new_flag
 from lectern.operators.neighbours import with_neighbours
-from lectern.operators.skew import HOT_ROWS, hot_keys
+from lectern.operators.sessions import play_sessions
+from lectern.operators.skew import HOT_ROWS
 from lectern.session import stored
 from lectern.sources.schemas import PAID
 
@@ -82,7 +83,7 @@ def plays(spark: SparkSession, sf: str, read=table) -> DataFrame:
     )
 
 
-def raw_log_lines(spark: SparkSession, sf: str) -> DataFrame:
+def raw_log_lines(spark: SparkSession, sf: str, *others: str) -> DataFrame:
     """The behaviour log as JSON text; every tenth key number gives a broken line."""
     rows = event_rows(table(spark, sf, "events"), "event_type", "value", "props")
     kind, number = F.col("event_type"), key_number()
@@ -103,7 +104,7 @@ def raw_log_lines(spark: SparkSession, sf: str) -> DataFrame:
     ))
     cut = F.expr("substring(line, 2)")
     return rows.withColumn("line", line).select(
-        F.when(number % 10 == 0, cut).otherwise(F.col("line")).alias("value"))
+        F.when(number % 10 == 0, cut).otherwise(F.col("line")).alias("value"), *others)
 
 
 def search_log(spark: SparkSession, sf: str, read=table) -> DataFrame:
@@ -143,10 +144,7 @@ def details(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_facts(spark: SparkSession, sf: str) -> DataFrame:
-    # Hot sessions are counted on the stored column, not on the joined orders.
-    sessions = table(spark, sf, "orders").select(_text(F.col("o_custkey")).alias("session_id"))
-    return order_details(details(spark, sf), orders(spark, sf), event_rows(table(spark, sf, "events")),
-                         hot_sessions=hot_keys(sessions, ["session_id"]))
+    return order_details(details(spark, sf), orders(spark, sf), event_rows(table(spark, sf, "events")))
 
 
 def payments(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,9 +179,15 @@ def registered(spark: SparkSession, sf: str) -> DataFrame:
     return facts.withColumn("row_op_ts", F.col("ts"))
 
 
-def logins(spark: SparkSession, sf: str, read=table) -> DataFrame:
-    return read(spark, sf, "events").filter(F.col("event_type") == "view").select(
-        _text(F.col("user_id")).alias("user_id"), "ts")
+def logins(spark: SparkSession, sf: str) -> DataFrame:
+    """The first-login facts: of a device and day the first logged-in row."""
+    first = first_logins(event_rows(table(spark, sf, "events")), TIE)
+    return first.select(F.col("uid").alias("user_id"), "ts")
+
+
+def sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The play sessions, which the play windows count."""
+    return play_sessions(plays(spark, sf), PLAY_GAP_SECONDS, tie=TIE)
 
 
 def cart(spark: SparkSession, sf: str, read=table) -> DataFrame:

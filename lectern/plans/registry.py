@@ -484,7 +484,7 @@ def _registrations(spark, sf):
 
 
 def _chapter_plays(spark, sf):
-    return w.chapter_plays(m.plays(spark, sf), m.videos(spark, sf), m.chapters(spark, sf), m.HOUR)
+    return w.chapter_plays(m.sessions(spark, sf), m.videos(spark, sf), m.chapters(spark, sf), m.HOUR)
 
 
 def _cart(spark, sf):

@@ -1,35 +1,69 @@
 """Streaming forms of registered queries: the same tables read as streams, run to their end.
 
-Each query reads its tables as a stream, writes closed results to a layer in the shared scratch
-folder and returns that layer. Windows and timers that the watermark has not reached stay open, as
-they would in a running job.
+A table is first written to the shared scratch folder in files by time, one of which is one
+micro-batch, so state goes over batches. Queries marked "late" move every seventeenth row to the
+next file. Each query writes closed results to a layer in the scratch folder and returns that layer.
+Windows and timers that the watermark has not reached stay open, as they would in a running job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.measures import money
+from lectern.functions.timefn import micros
 from lectern.operators import split
 from lectern.plans import model as m
 from lectern.plans import windows as w
 from lectern.plans.registry import query
-from lectern.session import scratch_dir
-from lectern.streaming import operators as s
+from lectern.session import scratch_dir, stored
 from lectern.sinks.layers import read_window_table
-from lectern.streaming import windows
+from lectern.sources.messages import table_stream
+from lectern.streaming import jobs, windows
+from lectern.streaming import operators as s
 from lectern.streaming.run import layer_stream, scratch_layer, to_layer, to_window_table
 
 
-def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    # A file source wants a folder or a pattern; the pattern matches a table that is one file too.
-    schema = m.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
+PARTS, LATE_EVERY = 3, 17
+TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate", "documents": "doc_id"}
+_written: dict[tuple, str] = {}
+
+
+def in_files(df: DataFrame, at: Column, late_id: str | None = None) -> str:
+    """A new folder with the rows in ``PARTS`` slices of time, in that order. With ``late_id`` rows whose number
+    divides by seventeen come a slice later, the last of them in a slice of their own."""
+    at = at.cast("bigint")
+    bounds = df.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    path = scratch_dir(df.sparkSession, "files")
+    if bounds["low"] is None:
+        df.write.parquet(path)
+        return path
+    part = F.least(F.lit(PARTS - 1), F.floor((at - bounds["low"]) * PARTS / (bounds["high"] - bounds["low"] + 1)))
+    if late_id:
+        part = part + F.when(F.col(late_id) % LATE_EVERY == 0, 1).otherwise(0)
+    for i in range(PARTS + bool(late_id)):
+        # file sources read in the order of writing
+        df.where(F.coalesce(part, F.lit(0)) == i).write.mode("append").parquet(path)
+    return path
+
+
+def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return table_stream(spark, path, like.schema, files_per_batch=1)
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return m.event_rows(stream(spark, sf, "events"))
+def stream(spark: SparkSession, sf: str, name: str, late_id: str | None = None) -> DataFrame:
+    table, key = m.table(spark, sf, name), (spark.sparkContext.applicationId, sf, name, late_id)
+    if key not in _written:
+        at = F.col(TIMES[name])
+        _written[key] = in_files(table, at if name == "documents" else micros(at), late_id)
+    return file_stream(spark, _written[key], table)
+
+
+def event_stream(spark: SparkSession, sf: str, late: bool = False) -> DataFrame:
+    return m.event_rows(stream(spark, sf, "events", "event_id" if late else None))
 
 
 def users_of(spark: SparkSession, sf: str, event: str) -> DataFrame:
@@ -37,47 +71,71 @@ def users_of(spark: SparkSession, sf: str, event: str) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("user_id"), "ts")
 
 
-def page_log_layer(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
-    """The page log written as a layer for the streams that read it."""
-    path = scratch_dir(spark, "page_log")
-    log = m.raw_page_log(spark, sf)
-    log.write.parquet(path)
-    return path, log
+def page_log_files(spark: SparkSession, sf: str, late: bool = False) -> tuple[str, DataFrame]:
+    """The page log written in files by time for the streams that read it."""
+    log = stored(m.raw_page_log(spark, sf), "page_log")
+    return in_files(log, micros("ts"), "log_id" if late else None), log
 
 
 @query("stream_t1_new_visitor_repair")
 def _(spark, sf):
-    return scratch_layer(s.repair_new_flag(event_stream(spark, sf)).select("log_id", "mid", "is_new"), "t1")
+    """Late."""
+    return scratch_layer(s.repair_new_flag(event_stream(spark, sf, late=True)).select("log_id", "mid", "is_new"), "t1")
 
 
 @query("stream_t2_daily_unique_visitor")
 def _(spark, sf):
-    path, log = page_log_layer(spark, sf)
-    entries = split.entry_pages(layer_stream(spark, path, log))
-    return scratch_layer(s.daily_first(entries, ["mid"]).select("mid", "log_id", "page_id", "ts"), "t2")
+    """Late."""
+    path, log = page_log_files(spark, sf, late=True)
+    entries = split.entry_pages(file_stream(spark, path, log))
+    return scratch_layer(s.daily_first(entries, ["mid"], late=None, forget=False).select("mid", "log_id", "page_id", "ts"), "t2")
 
 
 @query("stream_t3_unique_visitor_per_page")
 def _(spark, sf):
-    views = split.view_pages(event_stream(spark, sf))
-    return scratch_layer(s.daily_first(views, ["mid", "page_id"]).select("mid", "page_id", "log_id"), "t3")
+    """Late."""
+    views = split.view_pages(event_stream(spark, sf, late=True))
+    return scratch_layer(s.daily_first(views, ["mid", "page_id"], late=None, forget=False).select("mid", "page_id", "log_id"), "t3")
 
 
 @query("stream_t4_bounces")
 def _(spark, sf):
-    path, log = page_log_layer(spark, sf)
-    found = s.bounces(layer_stream(spark, path, log), m.BOUNCE_SECONDS)
+    path, log = page_log_files(spark, sf)
+    found = s.bounces(file_stream(spark, path, log), m.BOUNCE_SECONDS)
     return scratch_layer(found.select("mid", "log_id", "page_id", "ts"), "t4")
 
 
 @query("stream_t5_first_logins")
 def _(spark, sf):
-    return scratch_layer(s.first_logins(event_stream(spark, sf)).select("mid", "uid", "log_id", "ts"), "t5")
+    """Late."""
+    return scratch_layer(s.first_logins(event_stream(spark, sf, late=True)).select("mid", "uid", "log_id", "ts"), "t5")
+
+
+@query("stream_p15_log_split")
+def _(spark, sf):
+    """Late. Rows of each layer and of the dirty lines, and of the flags that stay "new"; no line is lost."""
+    lines = m.raw_log_lines(spark, sf, "log_id", "ts")
+    path = in_files(stored(lines, "lines"), micros("ts"), "log_id")
+    root = scratch_dir(spark, "split")
+    jobs.run_log_split(file_stream(spark, path, lines).select("value"), root)
+    layers = []
+    for kind, name in {**jobs.LOG_LAYERS, "dirty": jobs.DIRTY_LAYER}.items():
+        rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}/batch_id=*")
+        new = (F.col("common.is_new") == "1").cast("bigint") if "common" in rows.columns else F.lit(0).cast("bigint")
+        layers.append(rows.agg(F.count("*").alias("line_count"), F.coalesce(F.sum(new), F.lit(0)).alias("new_count")).withColumn("layer", F.lit(kind)))
+    return reduce(DataFrame.unionByName, layers)
+
+
+def login_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """First logins, written by a query of their own, as the next query's stream."""
+    root = scratch_dir(spark, "logins")
+    first = to_layer(s.first_logins(event_stream(spark, sf)), root + "/data", root + "/checkpoint")
+    return layer_stream(spark, root + "/data", first).select(F.col("uid").alias("user_id"), "ts")
 
 
 @query("stream_t7_login_returns")
 def _(spark, sf):
-    return scratch_layer(s.login_days(users_of(spark, sf, "view")).drop("event_ts"), "t7")
+    return scratch_layer(s.login_days(login_layer(spark, sf)).drop("event_ts"), "t7")
 
 
 @query("stream_t9_buyer_days")
@@ -87,7 +145,8 @@ def _(spark, sf):
 
 @query("stream_w5_keyed_tumbling_window")
 def _(spark, sf):
-    rows = s.with_event_time(event_stream(spark, sf).select("page_id", "during_time", "ts"))
+    """Late: rows behind the watermark are lost to their window."""
+    rows = s.with_event_time(event_stream(spark, sf, late=True).select("page_id", "during_time", "ts"))
     measures = [F.count(F.lit(1)).alias("views"), F.sum("during_time").alias("during_time")]
     return scratch_layer(s.tumbling(rows, ["page_id"], measures, "10 minutes"), "w5")
 
@@ -101,6 +160,13 @@ def _(spark, sf):
     return scratch_layer(s.play_sessions(plays, m.PLAY_GAP_SECONDS), "a0")
 
 
+def session_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed play sessions, written by a query of their own, as the next query's stream."""
+    root = scratch_dir(spark, "sessions")
+    found = to_layer(s.play_sessions(m.plays(spark, sf, stream), m.PLAY_GAP_SECONDS), root + "/data", root + "/checkpoint")
+    return layer_stream(spark, root + "/data", found)
+
+
 def _sums(name: str, build) -> None:
     """Register the closed sums of a window table."""
     @query(name)
@@ -119,8 +185,8 @@ def order_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 _sums("stream_a2_keyword_window", lambda spark, sf: windows.keywords(m.search_log(spark, sf, stream), m.HOUR))
 _sums("stream_a3_page_view_window", lambda spark, sf: windows.page_views(event_stream(spark, sf), m.HOUR))
-_sums("stream_a4_user_login_window", lambda spark, sf: windows.user_logins(m.logins(spark, sf, stream), m.HOUR))
-_sums("stream_a6_video_play_window", lambda spark, sf: windows.chapter_plays(m.plays(spark, sf, stream), m.HOUR))
+_sums("stream_a4_user_login_window", lambda spark, sf: windows.user_logins(login_layer(spark, sf), m.HOUR))
+_sums("stream_a6_video_play_window", lambda spark, sf: windows.chapter_plays(session_layer(spark, sf), m.HOUR))
 _sums("stream_a7_cart_add_window", lambda spark, sf: windows.cart_adds(m.cart(spark, sf, stream), m.HOUR))
 _sums("stream_a10_province_order_window", lambda spark, sf: windows.province_orders(order_stream(spark, sf)))
 _sums("stream_a13_paper_exam_window", lambda spark, sf: windows.paper_exams(m.exams(spark, sf, stream)))
@@ -148,11 +214,13 @@ def _(spark, sf):
 
 @query("stream_a1_traffic_window")
 def _(spark, sf):
-    """Three queries: visitors and bounces become layers, then one query unites them with the page log."""
-    path, log = page_log_layer(spark, sf)
+    """Four queries: the repaired page log, visitors and bounces become layers, then one query unites them."""
+    path, log = page_log_files(spark, sf)
     root = scratch_dir(spark, "traffic")
-    uv = to_layer(windows.visitors(layer_stream(spark, path, log)), root + "/uv", root + "/uv-checkpoint")
-    jumps = to_layer(s.bounces(layer_stream(spark, path, log), m.BOUNCE_SECONDS), root + "/jump", root + "/jump-checkpoint")
+    fixed = to_layer(s.repair_new_flag(file_stream(spark, path, log)), root + "/log", root + "/log-checkpoint")
+    path = in_files(fixed, micros("ts"))
+    uv = to_layer(windows.visitors(file_stream(spark, path, log)), root + "/uv", root + "/uv-checkpoint")
+    jumps = to_layer(s.bounces(file_stream(spark, path, log), m.BOUNCE_SECONDS), root + "/jump", root + "/jump-checkpoint")
     sums = windows.traffic(layer_stream(spark, path, log), layer_stream(spark, root + "/uv", uv),
                            layer_stream(spark, root + "/jump", jumps), m.BOUNCE_SECONDS, m.HOUR)
     closed = to_layer(sums, root + "/window", root + "/window-checkpoint")

@@ -10,22 +10,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from lectern.functions.timefn import JSON_TIMES, as_instant, from_micros, micros
 from lectern.operators.windows import WINDOW
 from lectern.streaming.processors import (
-    BounceDetector, DailyFirst, FirstLogin, FlagRepair, LatestVersion, first_rows, latest_per_key,
+    BounceDetector, DailyFirst, FirstLogin, FlagRepair, LatestVersion, first_rows, latest_per_key, marked,
 )
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# How late rows may come, per job.
+# How late rows may come, per job. Spark takes the greatest time over all partitions,
+# so a job that expects rows in order still needs more than the partitions' lag.
 LATE = "5 seconds"
 LATE_WITH_BOUNCES = "15 seconds"
 LATE_KEYWORDS = "3 seconds"
-IN_ORDER = "0 seconds"
 
 
 def _packed(df: DataFrame, keys: list[str], ts: str, **more: Column) -> DataFrame:
@@ -50,7 +50,7 @@ def _keys(n: int) -> list[str]:
     return [f"_k{i}" for i in range(n)]
 
 
-def _first_rows(df: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
+def _first_rows(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     names = _keys(len(keys))
     packed = _packed(df, keys, ts)
 
@@ -58,25 +58,48 @@ def _first_rows(df: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame
         for chunk in chunks:
             yield first_rows(chunk, names)
 
-    return _timed(packed.mapInPandas(reduce_chunks, packed.schema), late)
+    return packed.mapInPandas(reduce_chunks, packed.schema)
 
 
-def daily_first(df: DataFrame, keys: list[str], ts: str = "ts", late: str = LATE, forget: bool = True) -> DataFrame:
-    """First row of each key and day, plus ``last_day`` and the event time ``event_ts``.
+def _marked(rows: DataFrame, keys: list[str], late: str) -> DataFrame:
+    """A clock that drops no row. Spark drops rows whose event time lies behind the watermark, so data
+    rows carry none: the watermark follows a mark, a row without keys, that every chunk sends along."""
+    def with_marks(chunks):
+        for chunk in chunks:
+            yield marked(chunk, keys)
+
+    schema = StructType([*rows.schema.fields, StructField("event_ts", TimestampType())])
+    return rows.mapInPandas(with_marks, schema).withWatermark("event_ts", late)
+
+
+def daily_first(df: DataFrame, keys: list[str], ts: str = "ts", late: str | None = LATE, forget: bool = True) -> DataFrame:
+    """First row of each key and day, plus ``last_day`` and, with ``late``, the event time ``event_ts``.
 
     Before the shuffle each task keeps only the earliest row per key and day of every chunk, so a
     hot key sends few rows to its state.
+
+    With ``late`` a window may follow in the same query, and rows later than that are lost. A query
+    that feeds a layer takes ``late=None``: no row is too late, and days count in the order in which
+    they arrive. With ``forget`` a key's state goes away once the clock is a full day past its last day
+    (see ``_marked`` for the clock); a row later than that counts as a first one again.
     """
-    first = _first_rows(df, keys, ts, late).groupBy(*_keys(len(keys))).transformWithStateInPandas(
+    rows = _first_rows(df, keys, ts)
+    names = _keys(len(keys))
+    if late is None:
+        timed, mode = (_marked(rows, names, LATE), "EventTime") if forget else (rows, "None")
+        first = timed.groupBy(*names).transformWithStateInPandas(DailyFirst(forget, event_time=False), DailyFirst.plain, "Append", mode)
+        return _unpacked(first, df.schema, ts, "last_day")
+    first = _timed(rows, late).groupBy(*_keys(len(keys))).transformWithStateInPandas(
         DailyFirst(forget), DailyFirst.output, "Append", "EventTime", eventTimeColumnName="event_ts")
     return _unpacked(first, df.schema, ts, "last_day", "event_ts")
 
 
-def repair_new_flag(df: DataFrame, key: str = "mid", ts: str = "ts", flag: str = "is_new", late: str = LATE) -> DataFrame:
-    packed = _timed(_packed(df, [key], ts, is_new=F.col(flag)), late)
-    fixed = packed.groupBy("_k0").transformWithStateInPandas(
-        FlagRepair(), FlagRepair.output, "Append", "EventTime", eventTimeColumnName="event_ts")
-    rows = _unpacked(fixed.withColumnRenamed("is_new", "_fixed"), df.schema, ts, "_fixed", "event_ts")
+def repair_new_flag(df: DataFrame, key: str = "mid", ts: str = "ts", flag: str = "is_new") -> DataFrame:
+    """The corrected flag of every row. It feeds a layer, so no row is ever too late: a key's first day
+    is that of the earliest row of the first micro-batch that has the key."""
+    packed = _packed(df, [key], ts, is_new=F.col(flag))
+    fixed = packed.groupBy("_k0").transformWithStateInPandas(FlagRepair(), FlagRepair.output, "Append", "None")
+    rows = _unpacked(fixed.withColumnRenamed("is_new", "_fixed"), df.schema, ts, "_fixed")
     return rows.withColumn(flag, F.col("_fixed")).drop("_fixed")
 
 
@@ -93,7 +116,9 @@ def buyer_days(facts: DataFrame, user: str = "user_id", ts: str = "ts") -> DataF
     return first.select(user, ts, F.lit(1).cast("bigint").alias("uv_count"), new.alias("new_count"), "event_ts")
 
 
-def bounces(page_log: DataFrame, within_seconds: int = 10, key: str = "mid", ts: str = "ts", late: str = IN_ORDER) -> DataFrame:
+def bounces(page_log: DataFrame, within_seconds: int = 10, key: str = "mid", ts: str = "ts", late: str = LATE_WITH_BOUNCES) -> DataFrame:
+    """Bounced entries. Rows more than ``late`` behind the latest of any device are lost: name a time above
+    the lag between the source's partitions."""
     packed = _timed(_packed(page_log, [key], ts, entry=F.col("last_page_id").isNull()), late)
     found = packed.groupBy("_k0").transformWithStateInPandas(
         BounceDetector(within_seconds), BounceDetector.output, "Append", "EventTime")
@@ -101,8 +126,13 @@ def bounces(page_log: DataFrame, within_seconds: int = 10, key: str = "mid", ts:
 
 
 def first_logins(log: DataFrame, hold_seconds: int = 10, key: str = "mid", ts: str = "ts", late: str = LATE) -> DataFrame:
-    found = _first_rows(log.filter(F.col("uid").isNotNull()), [key], ts, late).groupBy("_k0").transformWithStateInPandas(
-        FirstLogin(hold_seconds), FirstLogin.output, "Append", "EventTime")
+    """First logged-in row per key and day, held back for a while so that an earlier one can still win.
+
+    ``late`` moves the clock by which rows are held (see ``_marked``); no row is too late. A first row from
+    behind the clock comes out at once, as its timer is due.
+    """
+    timed = _marked(_first_rows(log.filter(F.col("uid").isNotNull()), [key], ts), ["_k0"], late)
+    found = timed.groupBy("_k0").transformWithStateInPandas(FirstLogin(hold_seconds), FirstLogin.output, "Append", "EventTime")
     return _unpacked(found, log.schema, ts)
 
 

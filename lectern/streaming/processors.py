@@ -39,6 +39,15 @@ def first_rows(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return pd.concat([earliest_per_day(frame, keys), last], ignore_index=True)
 
 
+def marked(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The rows without event time, and a mark: a row without keys that has the latest row's."""
+    if not len(frame):
+        return frame.assign(event_ts=pd.Series([], dtype="datetime64[us, UTC]"))
+    mark = frame.loc[[frame["at"].idxmax()]].assign(**{k: None for k in keys}, row="")
+    both = pd.concat([frame.assign(event_ts=pd.NaT), mark.assign(event_ts=_instant(mark["at"]))], ignore_index=True)
+    return both.assign(event_ts=pd.to_datetime(both["event_ts"], utc=True))
+
+
 def latest_per_key(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     """The greatest version of each key within one chunk."""
     ordered = frame.sort_values(["at", "row"], ignore_index=True)
@@ -49,13 +58,15 @@ class DailyFirst(StatefulProcessor):
     """The first row of each key on each day later than the last one seen; older days are dropped.
 
     ``last_day`` in the output is the key's last day before (null: never seen). With ``forget`` the
-    state of a key goes away once the watermark is a full day past it.
+    state of a key goes away once the watermark is a full day past it. Without ``event_time`` the output
+    has none, and rows without key are marks that only move the clock.
     """
 
-    output = "at bigint, row string, last_day bigint, event_ts timestamp"
+    plain = "at bigint, row string, last_day bigint"
+    output = plain + ", event_ts timestamp"
 
-    def __init__(self, forget: bool = True) -> None:
-        self.forget = forget
+    def __init__(self, forget: bool = True, event_time: bool = True) -> None:
+        self.forget, self.event_time = forget, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -65,6 +76,8 @@ class DailyFirst(StatefulProcessor):
         return (day + 2) * DAY // 1000
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.event_time and key[0] is None:
+            return iter([])
         best: dict[int, tuple[int, str]] = {}
         for chunk in rows:
             for at, row in earliest_per_day(chunk[["at", "row"]], []).itertuples(index=False):
@@ -88,7 +101,7 @@ class DailyFirst(StatefulProcessor):
             "at": [o[0] for o in out], "row": [o[1] for o in out],
             "last_day": pd.array([o[2] for o in out], dtype="Int64"),
         })
-        return iter([frame.assign(event_ts=_instant(frame["at"]))])
+        return iter([frame if not self.event_time else frame.assign(event_ts=_instant(frame["at"]))])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -101,7 +114,7 @@ class DailyFirst(StatefulProcessor):
 class FlagRepair(StatefulProcessor):
     """The new-visitor flag, corrected by the key's first day."""
 
-    output = "at bigint, is_new string, row string, event_ts timestamp"
+    output = "at bigint, is_new string, row string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first_day", "day bigint")
@@ -116,8 +129,7 @@ class FlagRepair(StatefulProcessor):
             self.first.update(known)
         for chunk in rows:
             wrong = (chunk["is_new"] == "1") & (chunk["at"] // DAY != known[0])
-            fixed = chunk[["at", "is_new", "row"]].assign(is_new=chunk["is_new"].mask(wrong, "0"))
-            yield fixed.assign(event_ts=_instant(fixed["at"]))
+            yield chunk[["at", "is_new", "row"]].assign(is_new=chunk["is_new"].mask(wrong, "0"))
 
     def close(self) -> None:
         pass
@@ -180,7 +192,12 @@ class FirstLogin(StatefulProcessor):
         self.handle = handle
         self.days = handle.getMapState("days", "day bigint", "at bigint, row string, due bigint, sent boolean")
 
+    def _forget_at(self, day: int) -> int:
+        return (day + 2) * DAY // 1000
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:  # marks only move the clock
+            return iter([])
         for chunk in rows:
             for at, row in earliest_per_day(chunk[["at", "row"]], []).itertuples(index=False):
                 day = (int(at // DAY),)
@@ -195,13 +212,13 @@ class FirstLogin(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        held = list(self.days.iterator())
-        newest = max(day[0] for day, _ in held) if held else 0
-        for day, (at, row, due, sent) in held:
+        for day, (at, row, due, sent) in list(self.days.iterator()):
             if not sent and due <= now:
                 out.append((at, row))
                 self.days.updateValue(day, (at, "", due, True))
-            elif sent and day[0] < newest - 1:
+                # a day that was sent is remembered until the clock is a full day past it
+                self.handle.registerTimer(max(self._forget_at(day[0]), now + 1))
+            elif sent and self._forget_at(day[0]) <= now:
                 self.days.removeKey(day)
         if out:
             yield pd.DataFrame(out, columns=["at", "row"])

@@ -26,8 +26,8 @@ def _timed(df: DataFrame, late: str = s.LATE) -> DataFrame:
 
 
 def visitors(page_log: DataFrame) -> DataFrame:
-    """Daily unique visitors; a layer of its own for ``traffic``."""
-    return s.daily_first(entry_pages(page_log), ["mid"]).select(*page_log.columns)
+    """Daily unique visitors; a layer of its own for ``traffic``, so no row is too late."""
+    return s.daily_first(entry_pages(page_log), ["mid"], late=None).select(*page_log.columns)
 
 
 def traffic(page_log: DataFrame, visitor_layer: DataFrame, bounce_layer: DataFrame, bounce_seconds: int = 10,

@@ -49,7 +49,6 @@ TRAFFIC_SUMS = """, a1 AS (
   FROM a1 LEFT JOIN region ON sc = CAST(r_regionkey AS VARCHAR) LEFT JOIN nation ON ar = CAST(n_nationkey AS VARCHAR))"""
 
 TRAFFIC = FIXED + ", " + traffic_parts("fixed") + TRAFFIC_SUMS
-RAW_TRAFFIC = PAGES + ", " + traffic_parts("pages") + TRAFFIC_SUMS
 
 LINES = EV + """, good AS (SELECT * FROM ev WHERE k % 10 <> 0)"""
 
@@ -123,11 +122,20 @@ PAGE_VIEWS = EV + """, firsts AS (
     CAST(count(*) FILTER (page_id = 'course_list') AS BIGINT) AS list_uv_count,
     CAST(count(*) FILTER (page_id = 'course_detail') AS BIGINT) AS detail_uv_count FROM firsts GROUP BY 1)"""
 
-LOGIN_DAYS = EV + """, ldays AS (
-  SELECT mid AS user_id, d, min(ts) AS ts FROM ev WHERE event_type = 'view' GROUP BY 1, 2), lgaps AS (
+DUE_LOGIN = "ts + INTERVAL 10 SECOND <= (SELECT max(ts) - INTERVAL 5 SECOND FROM ev WHERE uid IS NOT NULL)"
+
+
+def login_days(due: str = "TRUE") -> str:
+    """Login days of the first-login facts: of a device and day only the first logged-in row counts."""
+    return EV + f""", firstl AS (
+  SELECT *, row_number() OVER (PARTITION BY mid, d ORDER BY ts, log_id) AS rn FROM ev WHERE uid IS NOT NULL), ldays AS (
+  SELECT uid AS user_id, d, min(ts) AS ts FROM firstl WHERE rn = 1 AND {due} GROUP BY 1, 2), lgaps AS (
   SELECT *, CASE WHEN epoch_us(ts) - epoch_us(CAST(lag(d) OVER (PARTITION BY user_id ORDER BY d) AS TIMESTAMP)) > 604800000000 THEN 1 ELSE 0 END AS back FROM ldays), a4 AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, CAST(sum(back) AS BIGINT) AS back_count, CAST(count(*) AS BIGINT) AS uv_count FROM lgaps GROUP BY 1)"""
 
+
+LOGIN_DAYS = login_days()
+
 REGISTERS = """regs AS (
   SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'signup' GROUP BY 1), a5 AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, CAST(count(*) AS BIGINT) AS register_count FROM regs GROUP BY 1)"""
@@ -136,13 +144,25 @@ PLAYS = EV + """, plays AS (
   SELECT log_id, mid AS uid, sid, sc, CAST(k AS VARCHAR) AS video_id, CAST(floor(value) AS INTEGER) AS play_sec, k AS position_sec, ts, d
   FROM ev WHERE event_type = 'view')"""
 
-CHAPTERS = PLAYS + """, rankedp AS (
-  SELECT *, row_number() OVER (PARTITION BY uid, d ORDER BY ts, log_id) AS rn FROM plays), pv AS (
+SESSIONS = PLAYS + """, sgaps AS (
+  SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS s FROM plays WINDOW w AS (PARTITION BY sid ORDER BY ts, log_id)), snums AS (
+  SELECT *, sum(s) OVER (PARTITION BY sid ORDER BY ts, log_id) AS no FROM sgaps), sess AS (
+  SELECT sid, arg_min(uid, ts) AS uid, arg_min(video_id, ts) AS video_id, sum(play_sec) AS play_sec, min(ts) AS ts, max(ts) AS last_ts,
+    CAST(min(ts) AS DATE) AS d, min(log_id) AS log_id FROM snums GROUP BY sid, no)"""
+
+
+def chapters(closed_only: str = "TRUE") -> str:
+    """Plays per chapter, from play sessions: a session counts once, in the window of its first row."""
+    return SESSIONS + f""", rankedp AS (
+  SELECT *, row_number() OVER (PARTITION BY uid, d ORDER BY ts, log_id) AS rn FROM sess WHERE {closed_only}), pv AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, video_id, count(*) AS pc, sum(play_sec) AS ps, count(*) FILTER (rn = 1) AS pu FROM rankedp GROUP BY 1, 2), a6 AS (
   SELECT w, coalesce(CAST(p_size AS VARCHAR), '-') AS chapter_id, coalesce(s_name, '-') AS chapter_name,
     CAST(pc AS BIGINT) AS play_count, CAST(ps AS BIGINT) AS play_total_sec, CAST(pu AS BIGINT) AS play_uu_count
   FROM pv LEFT JOIN part ON video_id = CAST(p_partkey AS VARCHAR) LEFT JOIN supplier ON p_size = s_suppkey)"""
 
+
+CHAPTERS = chapters()
+
 CART = EV + """, cdays AS (SELECT mid AS user_id, d, min(ts) AS ts FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2), a7 AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, CAST(count(*) AS BIGINT) AS cart_add_uv_count FROM cdays GROUP BY 1)"""
 
@@ -428,31 +448,79 @@ ORACLES |= {
 
 # --- streams: the batch answer, without what the watermark has not reached -------------------------
 
+CLOSED_SESSION = "last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 5 SECOND FROM plays)"
+
+
 def closed(window: str, width: str, source: str, late: str) -> str:
     return f"{window} + INTERVAL {width} <= (SELECT max(ts) - INTERVAL {late} FROM {source})"
 
 
-DUE_LOGIN = "ts + INTERVAL 10 SECOND <= (SELECT max(ts) - INTERVAL 5 SECOND FROM ev WHERE uid IS NOT NULL)"
+def arrivals(source: str) -> str:
+    """The micro-batch ``part`` of each row: a third of the time, one later for every seventeenth row."""
+    return f"""span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM {source}), parts AS (
+  SELECT s.*, CAST(least(2, floor(CAST((epoch_us(ts) - lo) * 3 AS DOUBLE) / CAST(hi - lo + 1 AS DOUBLE))) AS BIGINT)
+    + CASE WHEN log_id % 17 = 0 THEN 1 ELSE 0 END AS part FROM {source} s, span)"""
+
+
+def flags(source: str) -> str:
+    """Flags by the earliest row of the first micro-batch that has the device."""
+    return f"""ft AS (SELECT *, first_value(d - CASE WHEN is_new = '1' THEN 0 ELSE 1 END) OVER (PARTITION BY mid ORDER BY part, ts, log_id) AS first_day
+  FROM {source}), flagged AS (SELECT * REPLACE (CASE WHEN is_new = '1' AND first_day <> d THEN '0' ELSE is_new END AS is_new) FROM ft)"""
+
+
+def daily(where: str, keys: str) -> str:
+    """The first row to arrive of each key and day, unless a later day of the key came in an earlier micro-batch."""
+    same = " AND ".join(f"e2.{k} = f.{k}" for k in keys.split(", "))
+    return f"""e AS (SELECT * FROM parts WHERE {where}), f AS (
+  SELECT *, row_number() OVER (PARTITION BY {keys}, d ORDER BY part, ts, log_id) AS rn FROM e), k AS (
+  SELECT f.*, (SELECT max(e2.d) FROM e e2 WHERE {same} AND e2.part < f.part) AS before FROM f WHERE rn = 1), kept AS (
+  SELECT * FROM k WHERE before IS NULL OR d > before)"""
+
+
+def marks(source: str, late: str) -> str:
+    """The watermark that each micro-batch starts with; the last one has no rows."""
+    return f"""wm AS (SELECT b, (SELECT max(ts) - INTERVAL {late} FROM {source} WHERE part < b) AS mark FROM (SELECT unnest(range(0, 6)) AS b))"""
+
+
+LAYERS = {
+    "error": "event_type = 'error'", "start": "event_type = 'signup'", "video": "event_type = 'view'",
+    "page": "event_type IN ('click', 'purchase', 'error')",
+}
 
 ORACLES |= {
-    "stream_t1_new_visitor_repair": ORACLES["t1_new_visitor_repair"],
-    "stream_t2_daily_unique_visitor": ORACLES["t2_daily_unique_visitor"],
-    "stream_t3_unique_visitor_per_page": ORACLES["t3_unique_visitor_per_page"],
-    "stream_t4_bounces": ORACLES["t4_bounces"] + " WHERE nts IS NOT NULL OR ts + INTERVAL 3 HOUR <= (SELECT max(ts) FROM pages)",
-    "stream_t5_first_logins": ORACLES["t5_first_logins"] + f" AND {DUE_LOGIN}",
-    "stream_t7_login_returns": ORACLES["t7_login_returns"],
+    "stream_t1_new_visitor_repair": f"WITH {EV}, {arrivals('ev')}, {flags('parts')} SELECT log_id, mid, is_new FROM flagged",
+    "stream_t2_daily_unique_visitor": f"""WITH {PAGES}, {arrivals('pages')}, {daily('last_page_id IS NULL', 'mid')}
+        SELECT mid, log_id, page_id, strftime(ts, {MICROS}) AS ts FROM kept""",
+    "stream_t3_unique_visitor_per_page": f"""WITH {EV}, {arrivals('ev')}, {daily("page_id IN ('home', 'course_list', 'course_detail')", 'mid, page_id')}
+        SELECT mid, page_id, log_id FROM kept""",
+    "stream_t4_bounces": ORACLES["t4_bounces"] + " WHERE nts IS NOT NULL OR ts + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 15 SECOND FROM pages)",
+    "stream_t5_first_logins": f"""WITH {EV}, {arrivals('ev')}, l AS (SELECT * FROM parts WHERE uid IS NOT NULL), {marks('l', '5 SECOND')}, z AS (
+        SELECT mid, d, part AS p0, ts AS ts0 FROM (SELECT *, row_number() OVER (PARTITION BY mid, d ORDER BY part, ts, log_id) AS rn FROM l) WHERE rn = 1), s AS (
+        SELECT z.*, (SELECT min(b) FROM wm WHERE b >= p0 AND mark >= ts0 + INTERVAL 10 SECOND) AS sent FROM z), r AS (
+        SELECT l.*, row_number() OVER (PARTITION BY l.mid, l.d ORDER BY l.ts, l.log_id) AS rn FROM l JOIN s ON l.mid = s.mid AND l.d = s.d AND l.part <= s.sent)
+        SELECT mid, uid, log_id, strftime(ts, {MICROS}) AS ts FROM r WHERE rn = 1""",
+    "stream_p15_log_split": f"WITH {EV}, {arrivals('ev')}, lines AS (SELECT * FROM parts WHERE k % 10 <> 0), {flags('lines')} " + " UNION ALL ".join(
+        f"SELECT '{layer}' AS layer, CAST({times} * count(*) AS BIGINT) AS line_count, CAST({times if layer != 'error' else 0} * count(*) FILTER (is_new = '1') AS BIGINT) AS new_count FROM flagged WHERE {which}"
+        for layer, which, times in [*((n, w, 1) for n, w in LAYERS.items()), ("display", "event_type = 'click'", 2), ("action", "event_type = 'click'", 1)]
+    ) + " UNION ALL SELECT 'dirty', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT) FROM parts WHERE k % 10 = 0",
+    "stream_t7_login_returns": f"WITH {login_days(DUE_LOGIN)} SELECT user_id, strftime(ts, {MICROS}) AS ts, CAST(1 AS BIGINT) AS uv_count, CAST(back AS BIGINT) AS back_count FROM lgaps",
     "stream_t9_buyer_days": f"""WITH {EV}, b AS (SELECT mid AS user_id, d, ts FROM ev WHERE event_type = 'purchase'), {buyers('b', 'uv', 'nw')}
         SELECT user_id, strftime(ts, {MICROS}) AS ts, CAST(1 AS BIGINT) AS uv_count, CAST(CASE WHEN rn = 1 THEN 1 ELSE 0 END AS BIGINT) AS new_count FROM ranked""",
-    "stream_w5_keyed_tumbling_window": ORACLES["w5_keyed_tumbling_window"] + " WHERE " + closed("w", "10 MINUTE", "ev", "5 SECOND"),
+    # rows are lost if their window lies behind the watermark of the micro-batch before theirs
+    "stream_w5_keyed_tumbling_window": f"""WITH {EV}, {arrivals('ev')}, {marks('parts', '5 SECOND')}, x AS (
+        SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) AS w FROM parts), o AS (
+        SELECT w, page_id, CAST(count(*) AS BIGINT) AS views, CAST(sum(during_time) AS BIGINT) AS during_time FROM x
+        WHERE NOT coalesce(w + INTERVAL 10 MINUTE <= (SELECT mark FROM wm WHERE b = x.part - 1), FALSE) GROUP BY 1, 2)
+        SELECT {bounds('w', '10 MINUTE')}, * EXCLUDE (w) FROM o WHERE """ + closed("w", "10 MINUTE", "ev", "5 SECOND"),
     "stream_a0_play_sessions": f"""WITH {PLAYS}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS s FROM plays WINDOW w AS (PARTITION BY sid ORDER BY ts, log_id)),
         n AS (SELECT *, sum(s) OVER (PARTITION BY sid ORDER BY ts, log_id) AS no FROM g)
         SELECT sid, arg_min(video_id, ts) AS video_id, CAST(sum(play_sec) AS BIGINT) AS play_sec, arg_max(position_sec, ts) AS position_sec,
         strftime(min(ts), {MICROS}) AS ts FROM n GROUP BY sid, no HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 5 SECOND FROM plays)""",
     "stream_a2_keyword_window": ORACLES["a2_keyword_window"] + " WHERE " + closed("w", HOUR, "hits", "3 SECOND"),
     "stream_a3_page_view_window": ORACLES["a3_page_view_window"] + " WHERE " + closed("w", HOUR, "(SELECT ts FROM ev WHERE page_id IN ('home', 'course_list', 'course_detail'))", "5 SECOND"),
-    "stream_a4_user_login_window": ORACLES["a4_user_login_window"] + " WHERE " + closed("w", HOUR, "(SELECT ts FROM ev WHERE event_type = 'view')", "5 SECOND"),
-    "stream_a1_traffic_window": f"WITH {RAW_TRAFFIC} SELECT {bounds('w', HOUR)}, * EXCLUDE (w) FROM traffic WHERE " + closed("w", HOUR, "measures", "10805 SECOND"),
-    "stream_a6_video_play_window": f"WITH {CHAPTERS} SELECT {bounds('w', HOUR)}, video_id, CAST(pc AS BIGINT) AS play_count, CAST(ps AS BIGINT) AS play_total_sec, CAST(pu AS BIGINT) AS play_uu_count FROM pv WHERE " + closed("w", HOUR, "plays", "5 SECOND"),
+    "stream_a4_user_login_window": f"WITH {login_days(DUE_LOGIN)} SELECT {bounds('w', HOUR)}, * EXCLUDE (w) FROM a4 WHERE " + closed("w", HOUR, "ldays", "5 SECOND"),
+    "stream_a1_traffic_window": f"WITH {TRAFFIC} SELECT {bounds('w', HOUR)}, * EXCLUDE (w) FROM traffic WHERE " + closed("w", HOUR, "measures", "10805 SECOND"),
+    "stream_a6_video_play_window": f"WITH {chapters(CLOSED_SESSION)} SELECT {bounds('w', HOUR)}, video_id, CAST(pc AS BIGINT) AS play_count, CAST(ps AS BIGINT) AS play_total_sec, CAST(pu AS BIGINT) AS play_uu_count FROM pv WHERE " + closed("w", HOUR, "rankedp", "5 SECOND"),
     "stream_a7_cart_add_window": ORACLES["a7_cart_add_window"] + " WHERE " + closed("w", HOUR, "(SELECT ts FROM ev WHERE event_type = 'purchase')", "5 SECOND"),
     "stream_a10_province_order_window": f"WITH {PROVINCES} SELECT {bounds('w', TEN)}, province_id, order_total_amount, order_uu_count, order_count FROM a10 WHERE " + closed("w", TEN, "ord", "5 SECOND"),
     "stream_a13_paper_exam_window": f"WITH {EXAMS} SELECT {bounds('w', TEN)}, paper_id, exam_taken_count, exam_total_score, exam_total_during_sec FROM a13 WHERE "

@@ -77,14 +77,13 @@ def test_new_buyers(spark):
     assert rows(keyed.buyer_days(df)) == [("u", at(5), 1, 1), ("u", at(1, 1), 1, 0)]
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_first_flag(spark, hot):
+def test_first_flag(spark):
     df = spark.createDataFrame([
         ("o", 3, at(50)), ("o", 1, at(7)), ("o", 2, at(7)), ("o", 4, at(1, 1)), ("p", 1, at(0)),
     ], "k string, id int, ts timestamp_ntz")
-    daily = keyed.flag_first(df, ["k"], "ts", ["id"], "f", hot_rows=hot, slice_seconds=10)
+    daily = keyed.flag_first(df, ["k"], "ts", ["id"], "f")
     assert rows(daily.filter("f = 1"), "k", "id") == [("o", 1), ("o", 4), ("p", 1)] and daily.count() == 5
-    ever = keyed.flag_first(df, ["k"], "ts", ["id"], "f", per_day=False, hot_rows=hot, slice_seconds=10)
+    ever = keyed.flag_first(df, ["k"], "ts", ["id"], "f", per_day=False)
     assert rows(ever.filter("f = 1"), "k", "id") == [("o", 1), ("p", 1)] and ever.count() == 5
 
 

@@ -42,7 +42,7 @@ def test_split_plans_equal_unsplit_plans(log):
             neighbours.with_neighbours(log, ["mid"], "ts", ["log_id"], {"p": "log_id"}, {"n": "log_id"}, slice_seconds=3600, **args),
             keyed.bounces(log, ["log_id"], 60, slice_seconds=3600, **args),
             keyed.repair_new_flag(log, salts=8, **args),
-            keyed.flag_first(log, ["mid"], "ts", ["log_id"], "f", slice_seconds=3600, **args),
+            keyed.flag_first(log, ["mid"], "ts", ["log_id"], "f"),
             sessions.play_sessions(log.select("mid", "log_id", "video_id", "play_sec", "position_sec", "ts"), 120, "mid",
                                    tie=["log_id"], slice_seconds=3600, **args),
         )

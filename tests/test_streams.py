@@ -52,7 +52,7 @@ REAL = "mid <> 'flush'"
 
 def test_repair_and_daily_first(spark):
     df = log(spark)
-    got = scratch_layer(s.repair_new_flag(as_stream(spark, df, 4)).drop("event_ts"), "t1")
+    got = scratch_layer(s.repair_new_flag(as_stream(spark, df, 4)), "t1")
     assert rows(got, "mid", "ts", "is_new") == rows(keyed.repair_new_flag(df), "mid", "ts", "is_new")
     entries = F.col("last_page_id").isNull()
     uv = scratch_layer(s.daily_first(as_stream(spark, df, 4).filter(entries), ["mid"]).select("mid", "ts"), "t2")
@@ -67,6 +67,33 @@ def test_bounces_and_first_logins(spark):
     assert rows(first.filter(REAL), "mid", "ts") == rows(keyed.first_logins(df, []).filter(REAL), "mid", "ts")
 
 
+def in_order(spark, df, parts):
+    """The rows as they are, one file each of the given numbers of rows, one file per micro-batch."""
+    path, data = scratch_dir(spark, "files"), df.collect()
+    for n in parts:
+        spark.createDataFrame(data[:n], df.schema).coalesce(1).write.mode("append").parquet(path)
+        data = data[n:]
+        time.sleep(0.05)
+    return table_stream(spark, path, df.schema, files_per_batch=1)
+
+
+def test_late_rows_reach_their_layer(spark):
+    """Rows far behind the clock, in later micro-batches: none is lost, and the rules see them as they arrive."""
+    data = [("a", "u", "home", None, "1", at(100)), ("b", "u", "home", None, "1", at(50, 3)),
+            ("c", "u", "home", None, "1", at(10)), ("a", "u", "home", None, "1", at(20)), ("d", "u", "x", None, "1", at(0, 9)),
+            ("e", "u", "home", None, "0", at(5, 1)), ("a", "u", "home", None, "1", at(7, 1)), ("b", "u", "home", None, "1", at(1, 2))]
+    df = spark.createDataFrame(data, log(spark).schema)
+    parts = [2, 3, 3]
+    fixed = scratch_layer(s.repair_new_flag(in_order(spark, df, parts)), "t1")
+    assert rows(fixed, "mid", "ts", "is_new") == rows(
+        df.withColumn("is_new", F.when(F.col("mid").isin("e") | F.col("ts").isin([at(7, 1), at(1, 2)]), "0").otherwise("1")), "mid", "ts", "is_new")
+    first = scratch_layer(s.daily_first(in_order(spark, df, parts), ["mid"], late=None, forget=False), "t2")
+    assert rows(first, "mid", "ts") == sorted([("a", at(100)), ("a", at(7, 1)), ("b", at(50, 3)), ("c", at(10)), ("d", at(0, 9)), ("e", at(5, 1))], key=str)
+    logins = scratch_layer(s.first_logins(in_order(spark, df, parts)), "t5")
+    assert rows(logins, "mid", "ts") == sorted([
+        ("a", at(20)), ("a", at(7, 1)), ("b", at(50, 3)), ("b", at(1, 2)), ("c", at(10)), ("e", at(5, 1))], key=str)
+
+
 def test_returns_buyers_and_a_window(spark):
     users = log(spark).filter("uid is not null").select(F.col("uid").alias("user_id"), "ts")
     days = scratch_layer(s.login_days(as_stream(spark, users, 4)).drop("event_ts"), "t7")
