@@ -190,10 +190,13 @@ def _judge(model: SeverityModel | None):
     return judged
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, grade) of the labelled documents; of several labels of a document the gravest counts."""
-    grades = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
-    return docs.select("doc_id", "text").join(grades, "doc_id")
+def labelled_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, grade) of about ``sample_rows`` labelled documents, chosen by the hash of their id; of several labels
+    of a document the gravest counts. The chosen labels are that many rows of two numbers, so they may be broadcast."""
+    grades = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
+    total = max(1, labels.select("doc_id").distinct().count())
+    chosen = grades.where(hashed_share(F.col("doc_id").cast("string"), min(1.0, sample_rows / total)))
+    return docs.select("doc_id", "text").join(F.broadcast(stored(chosen, "grades")), "doc_id")
 
 
 @query("op1_toxicity")
