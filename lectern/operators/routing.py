@@ -27,15 +27,15 @@ def listed_columns(data: str, columns: str) -> Column:
     return F.map_filter(F.col(data), lambda k, v: F.array_contains(names, k))
 
 
-def route_dimensions(changes: DataFrame, config: DataFrame) -> DataFrame:
-    """Change rows of configured tables -> ``sink_table, sink_pk, _op, data, ts``.
+def route_dimensions(changes: DataFrame, config: DataFrame, *others: str) -> DataFrame:
+    """Change rows of configured tables -> ``sink_table, sink_pk, _op, data, ts`` and ``others``, such as a number of arrival.
 
     The change type has a column of its own, so a dimension may have a column named ``type``.
     """
     typed = changes.filter(F.col("type").isNotNull())
     return typed.join(config, typed["table"] == config["source_table"], "inner").select(
         "sink_table", F.coalesce("sink_pk", F.lit("id")).alias("sink_pk"), F.col("type").alias("_op"),
-        listed_columns("data", "sink_columns").alias("data"), "ts",
+        listed_columns("data", "sink_columns").alias("data"), "ts", *others,
     )
 
 

@@ -28,7 +28,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_dir(spark, "topics")
     layers.write_by_topic(_routed_facts(spark, sf), path)
-    return spark.read.text(path).groupBy("topic").agg(F.count(F.lit(1)).alias("message_count"))
+    return layers.read_lines(spark, path).groupBy("topic").agg(F.count(F.lit(1)).alias("message_count"))
 
 
 @query("k3_upsert_messages")
@@ -77,4 +77,4 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_dir(spark, "dirty")
     layers.write_dead_letters(parse.parse_or_divert(_props_lines(spark, sf), PROPS)[1], path)
-    return spark.read.text(path)
+    return layers.read_lines(spark, path)

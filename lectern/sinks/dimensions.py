@@ -14,16 +14,21 @@ from lectern.operators.keyed import latest_version
 from lectern.operators.routing import sink_rows, sink_schema
 
 
+ARRIVAL = "_arrival"
+
+
 def append_versions(routed: DataFrame, config_row, path: str, number: int) -> None:
     """Write one sink table's rows of a batch as versions.
 
-    ``config_row`` has ``sink_table, sink_columns, sink_pk``; it is one small configuration row.
+    ``config_row`` has ``sink_table, sink_columns, sink_pk``; it is one small configuration row. Of equal
+    versions (they are whole seconds) the row with the greatest ``ARRIVAL`` stays, if the rows have it.
     """
     columns = sink_schema(config_row["sink_columns"])
     key = config_row["sink_pk"] or "id"
-    rows = sink_rows(routed, config_row["sink_table"], config_row["sink_columns"], "ts", "_op")
+    arrival = [ARRIVAL] if ARRIVAL in routed.columns else []
+    rows = sink_rows(routed, config_row["sink_table"], config_row["sink_columns"], "ts", "_op", *arrival)
     versions = rows.withColumns({"_version": F.col("ts").cast("bigint"), "_batch": F.lit(number).cast("bigint")}).drop("ts")
-    best = latest_version(versions, [key], "_version").select(*columns, "_op", "_version", "_batch")
+    best = latest_version(versions, [key], "_version", *arrival).select(*columns, "_op", "_version", "_batch")
     best.write.mode("overwrite").parquet(f"{path}/{config_row['sink_table']}/batch_id={number}")
 
 

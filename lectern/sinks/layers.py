@@ -51,14 +51,19 @@ def write_kafka(values: DataFrame, servers: str, topic: str | None = None) -> No
     (writer.option("topic", topic) if topic else writer).save()
 
 
-def write_by_topic(routed: DataFrame, path: str, topic: str = "sink_table") -> None:
-    """The file form of the dynamic-topic sink: one folder per topic."""
-    message_values(routed, topic).write.mode("append").partitionBy("topic").text(path)
+def write_by_topic(routed: DataFrame, path: str, topic: str = "sink_table", number: int = 0) -> None:
+    """The file form of the dynamic-topic sink: in batch ``number``, one folder per topic."""
+    message_values(routed, topic).write.mode("overwrite").partitionBy("topic").text(f"{path}/batch_id={number}")
 
 
-def write_dead_letters(dirty: DataFrame, path: str) -> None:
-    """Unparseable lines, verbatim."""
-    dirty.select("value").write.mode("append").text(path)
+def write_dead_letters(dirty: DataFrame, path: str, number: int = 0) -> None:
+    """Unparseable lines of batch ``number``, verbatim."""
+    dirty.select("value").write.mode("overwrite").text(f"{path}/batch_id={number}")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all batches, with their topic if they have one."""
+    return spark.read.text(path).drop("batch_id")
 
 
 def window_rows(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.timefn import from_millis
 from lectern.operators import parse, routing, split
-from lectern.sinks.dimensions import upsert_batch
+from lectern.sinks.dimensions import ARRIVAL, upsert_batch
 from lectern.sources import messages
 from lectern.sources.schemas import TOPIC_LOG
 from lectern.streaming import operators as s
@@ -73,7 +73,9 @@ def run_dimensions(lines: DataFrame, config: Callable[[], DataFrame], path: str,
 
     def write(batch: DataFrame, number: int) -> None:
         current = config()
-        routed = routing.route_dimensions(batch, current).persist()
+        # numbered as read, before any shuffle: a source keeps the changes of a key in order
+        numbered = batch.withColumn(ARRIVAL, F.monotonically_increasing_id())
+        routed = routing.route_dimensions(numbered, current, ARRIVAL).persist()
         try:
             upsert_batch(batch.sparkSession, routed, current, path + "/dim", number)
         finally:

@@ -49,8 +49,8 @@ def marked(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
 
 
 def latest_per_key(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """The greatest version of each key within one chunk."""
-    ordered = frame.sort_values(["at", "row"], ignore_index=True)
+    """The greatest version of each key within one chunk; of equal ones the later row."""
+    ordered = frame.sort_values("at", kind="stable", ignore_index=True)
     return ordered.drop_duplicates(keys, keep="last", ignore_index=True)
 
 
@@ -228,7 +228,8 @@ class FirstLogin(StatefulProcessor):
 
 
 class LatestVersion(StatefulProcessor):
-    """Upsert compaction: waits a short time after the first version of a key, then emits the greatest."""
+    """Upsert compaction: waits a short time after the first version of a key, then emits the greatest.
+    Of equal versions the later arrival stays."""
 
     output = "at bigint, row string"
 
@@ -243,9 +244,9 @@ class LatestVersion(StatefulProcessor):
         held = self.best.get()
         best = (held[0], held[1]) if held else None
         for chunk in rows:
-            top = chunk[["at", "row"]].sort_values(["at", "row"]).iloc[-1]
+            top = chunk[["at", "row"]].sort_values("at", kind="stable").iloc[-1]
             here = (int(top["at"]), top["row"])
-            best = here if best is None or here >= best else best
+            best = here if best is None or here[0] >= best[0] else best
         self.best.update((*best, bool(held[2]) if held else False))
         if held is None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
