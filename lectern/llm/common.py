@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import lectern.llm
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from lectern.session import stored
 # functions of this package travel to the executors with their code, which therefore need no copy of it
 cloudpickle.register_pickle_by_value(lectern.llm)
 
+#: Edges that one task cuts down to a forest.
+TASK_EDGES = 1 << 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -43,17 +48,56 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Forest:
+    """Union-find over positions, in whole arrays; every root is the least position of its tree."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        x = self.up[x]
+        while (y := self.up[x]).tobytes() != x.tobytes():
+            x = y
+        return x
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+        self.up = self.find(np.arange(len(self.up)))
+
+
+def spanning(edges: DataFrame) -> DataFrame:
+    """As few of the edges (a, b) as connect the same nodes, task by task; a task takes some ``TASK_EDGES`` of them."""
+
+    def forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f[["a", "b"]].to_numpy(np.int64) for f in frames]
+        if held:
+            nodes, ends = np.unique(np.concatenate(held), return_inverse=True)
+            ends = ends.reshape(-1, 2)
+            forest = Forest(len(nodes))
+            forest.unite(ends[:, 0], ends[:, 1])
+            member = np.flatnonzero(forest.up != np.arange(len(nodes)))
+            yield pd.DataFrame({"a": nodes[forest.up[member]], "b": nodes[member]})
+
+    found = stored(edges.select("a", "b").where("a <> b"), "edges")
+    return found.coalesce(max(1, -(-found.count() // TASK_EDGES))).mapInPandas(forests, "a bigint, b bigint")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Smallest node that each node reaches over undirected edges (a, b): returns (node, component).
 
-    Each round gives every node the least label among its neighbours and itself, then follows labels
+    First every task cuts its share of the edges down to a spanning forest. Then each round gives every node the least label among its neighbours and itself, then follows labels
     once (the label's own label), so that long chains halve. Every round is a join and a grouping with
     partial sums, written to the shared folder; a star with a third of all nodes is a skewed join, which
     Spark splits. Nodes without edges have no row; so have null nodes. It ends when no label changes and
     raises after ``rounds`` rounds, which 2^rounds nodes in one chain would need.
     """
+    edges = stored(spanning(edges), "forest")
     both = stored(
-        edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(),
+        edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "edges",
     )
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")

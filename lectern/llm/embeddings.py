@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, query, stored, table
+from lectern.llm.common import Forest, components, query, stored, table
 from lectern.llm.hnsw import Graph
-from lectern.llm.simhash import Forest
 
 COSINE = 0.93
 #: Vectors in a graph; a label has as many graphs as it needs.

@@ -16,7 +16,7 @@ from lectern.llm.tokens import text_blocks
 #: Hash buckets of n-grams, and the longest n-gram.
 BUCKETS, LONGEST = 1 << 15, 3
 #: Texts that the weights are fitted on, dealt evenly to the languages; of these, the share kept for the temperature.
-SAMPLE_ROWS, CALIBRATION = 8192, 0.2
+SAMPLE_ROWS, CALIBRATION = 4096, 0.2
 #: Most languages that a table may name.
 MOST_LANGUAGES = 1024
 #: Follow-the-regularised-leader: step, smoothing, elastic net; texts in a step, passes.
@@ -152,9 +152,9 @@ def train(texts: DataFrame, text: str = "text", language: str = "lang", key: str
     wanted = sample["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
     vectors = []
     for at, n in zip(sample["at"], sample["n"], strict=True):
-        at = np.frombuffer(at, "<i4").astype(np.int64)
+        at = np.frombuffer(at, "<i4")
         x = np.log1p(np.frombuffer(n, "<i4")) * idf[at]
-        vectors.append((at, x / (np.linalg.norm(x) or 1.0)))
+        vectors.append((at, (x / (np.linalg.norm(x) or 1.0)).astype(np.float32)))
     held = np.random.default_rng(7).random(len(vectors)) < CALIBRATION
     fitted = [v for v, h in zip(vectors, held, strict=True) if not h]
     model = fit_ftrl(fitted, wanted[~held], languages, idf)

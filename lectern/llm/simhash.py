@@ -17,16 +17,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, query, stored, table
+from lectern.llm.common import Forest, components, query, stored, table
 
 #: XXH64's seed; word i of a wide fingerprint takes SEED + i.
 SEED = 42
 #: Distinct fingerprints of a bucket that one task indexes; larger buckets are cut into pieces, and every two pieces meet in a task.
-BUCKET_ROWS = 1 << 17
+BUCKET_ROWS = 1 << 20
 #: Fingerprints under a leaf of the index, and nodes under a node.
 FAN = 16
 #: Text that is split into words at a time, and pairs of nodes that are compared at a time.
 BLOCK_BYTES, BLOCK_PAIRS = 1 << 20, 1 << 12
+#: Rows of whole buckets that are indexed together.
+BLOCK_ROWS = 1 << 17
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -83,27 +85,6 @@ def _differ(a: np.ndarray, b: np.ndarray, among: np.ndarray | None = None) -> np
     return np.bitwise_count(x if among is None else x & among).sum(axis=1, dtype=np.int16)
 
 
-class Forest:
-    """Union-find over positions, in whole arrays; every root is the least position of its tree."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        x = self.up[x]
-        while (y := self.up[x]).tobytes() != x.tobytes():
-            x = y
-        return x
-
-    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.find(a), self.find(b)
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
-        self.up = self.find(np.arange(len(self.up)))
-
-
 class GrayIndex:
     """Fingerprints in Gray order under nodes that hold the bits all their members share (mask) and those bits' values."""
 
@@ -203,7 +184,7 @@ def _linker(radius: int, words: int):
         for frame in frames:
             held.append(frame)
             n += len(frame)
-            if n >= BUCKET_ROWS:
+            if n >= BLOCK_ROWS:
                 block = pd.concat(held, ignore_index=True)
                 last = block.iloc[-1]
                 going_on = ((block["bucket"] == last["bucket"]) & (block["lo"] == last["lo"]) & (block["hi"] == last["hi"])).to_numpy()
@@ -255,12 +236,12 @@ def simhash_groups(
     wide = ids.select("id", *[F.col("f")[i].alias(f"f{i}") for i in range(n_words)])
     node = f[0] if n_words == 1 else F.xxhash64(*f)
     distinct = stored(wide.groupBy(*f).agg(F.min("id").alias("first")).withColumn("node", node), "distinct")
+    total = distinct.count()
     if recall is None:
         size = width // (radius + 1)
         blocks = [list(range(size * b, size * (b + 1) if b < radius else width)) for b in range(radius + 1)]
     else:
-        total = max(2, distinct.count())
-        bits = min(width, max(8, math.ceil(math.log2(total)) - 4))
+        bits = min(width, max(8, math.ceil(math.log2(max(2, total))) - 4))
         tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - recall_at) ** bits))
         draw = np.random.default_rng(SEED)
         blocks = [sorted(int(x) for x in draw.choice(width, bits, replace=False)) for _ in range(tables)]
@@ -268,8 +249,10 @@ def simhash_groups(
     turned = lambda p: F.shiftleft(f[p // 64], 64 - p % 64).bitwiseOR(F.shiftrightunsigned(f[p // 64], p % 64)) if p % 64 else f[p // 64]
     routes = F.array(*[F.struct(F.xxhash64(F.lit(t), _bits(f, b)).alias("bucket"), turned((b[-1] + 1) % width).alias("lead")) for t, b in enumerate(blocks)])
     dealt = distinct.select("node", *f, F.inline(routes))
-    hot = stored(dealt.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("pieces")), "hot")
-    if hot.isEmpty():
+    hot = None
+    if total > bucket_rows:  # else no bucket can have as many
+        hot = stored(dealt.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("pieces")), "hot")
+    if hot is None or hot.isEmpty():
         dealt = dealt.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
     else:
         pieces = F.coalesce(F.col("pieces"), F.lit(1))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import hashed_share, query, stored, table
 
 #: Labelled texts that the model is fitted on, and features that it may use.
-SAMPLE_ROWS, FEATURES = 20_000, 4096
+SAMPLE_ROWS, FEATURES = 10_000, 4096
 #: A word's features: itself and its first letters, which words of one stem share.
 PREFIXES = (4, 5, 6)
 #: Likelihood ratio (in nats) that a feature must reach, so that few of 100,000 candidates are chosen by chance.
@@ -148,8 +148,8 @@ def train(labelled: DataFrame, text: str = "text", grade: str = "grade", key: st
             yield pd.DataFrame({"key": frame["key"], "grade": frame["grade"], "at": [a.astype("<i4").tobytes() for a, _ in found], "n": [n.astype("<i4").tobytes() for _, n in found]})
 
     sample = rows.mapInPandas(sparse, "key string, grade int, at binary, n binary").toPandas().sort_values(["key", "at"], na_position="first").reset_index(drop=True)
-    at = [np.frombuffer(x, "<i4").astype(np.int64) for x in sample["at"]]
-    n = [np.frombuffer(x, "<i4").astype(np.float64) for x in sample["n"]]
+    at = [np.frombuffer(x, "<i4") for x in sample["at"]]
+    n = [np.frombuffer(x, "<i4") for x in sample["n"]]
     grades = sample["grade"].to_numpy().clip(0)
     if grades.max() == 1:
         marks = ((counted["toxic"] / both["toxic"]) > 4 * (counted["clean"] + 0.5) / both["clean"]).to_numpy()

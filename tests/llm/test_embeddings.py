@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from lectern.llm import embeddings
+from lectern.llm.common import Forest
 from lectern.llm.hnsw import Graph
-from lectern.llm.simhash import Forest
 
 
 def planted(n, seed, dims=16):
