@@ -169,15 +169,20 @@ def linked(bucket: np.ndarray, f: np.ndarray, lead: np.ndarray, radius: int) ->
     return order[forest.up[member]], order[member]
 
 
-def _linker(radius: int, words: int):
-    names = [f"f{i}" for i in range(words)]
+def turned(f: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The word of each fingerprint that holds bit ``last``, turned so that this bit leads: a block that ends there comes first."""
+    word, by = np.take_along_axis(f, last[:, None] // 64, axis=1)[:, 0], np.uint64(63) - (last % 64).astype(np.uint64)
+    return (word << by) | (word >> ((np.uint64(64) - by) % np.uint64(64)))
+
+
+def _linker(radius: int, words: int, bits: int, last: list[int]):
+    names, last_of = [f"f{i}" for i in range(words)], np.array(last)
 
     def edges(block: pd.DataFrame) -> pd.DataFrame:
         run = block.groupby(["bucket", "lo", "hi"], sort=True).ngroup().to_numpy()
         f = block[names].to_numpy(np.int64).view(np.uint64)
-        a, b = linked(run, f, block["lead"].to_numpy(np.int64).view(np.uint64), radius)
-        node = block["node"].to_numpy()
-        return pd.DataFrame({"a": node[a], "b": node[b]})
+        a, b = linked(run, f, turned(f, last_of[block["bucket"].to_numpy() >> bits]), radius)
+        return pd.DataFrame({f"{end}{i}": f[rows, i].view(np.int64) for end, rows in (("a", a), ("b", b)) for i in range(words)})
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -245,10 +250,10 @@ def simhash_groups(
         tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - recall_at) ** bits))
         draw = np.random.default_rng(SEED)
         blocks = [sorted(int(x) for x in draw.choice(width, bits, replace=False)) for _ in range(tables)]
-    # Gray order inside a bucket: by the word with the block's first bit, turned so that the block leads
-    turned = lambda p: F.shiftleft(f[p // 64], 64 - p % 64).bitwiseOR(F.shiftrightunsigned(f[p // 64], p % 64)) if p % 64 else f[p // 64]
-    routes = F.array(*[F.struct(F.xxhash64(F.lit(t), _bits(f, b)).alias("bucket"), turned((b[-1] + 1) % width).alias("lead")) for t, b in enumerate(blocks)])
-    dealt = distinct.select("node", *f, F.inline(routes))
+    blocks = [b[-48:] for b in blocks]  # a bucket is one number; what shares a block shares its end
+    bits = max(map(len, blocks))
+    buckets = F.array(*[F.lit(t << bits).cast("long").bitwiseOR(_bits(f, b)) for t, b in enumerate(blocks)])
+    dealt = distinct.select(*f, F.explode(buckets).alias("bucket"))
     hot = None
     if total > bucket_rows:  # else no bucket can have as many
         hot = stored(dealt.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("pieces")), "hot")
@@ -258,13 +263,16 @@ def simhash_groups(
         pieces = F.coalesce(F.col("pieces"), F.lit(1))
         dealt = (
             dealt.join(hot, "bucket", "left")
-            .withColumn("piece", F.pmod(F.xxhash64("node"), pieces))
+            .withColumn("piece", F.pmod(F.xxhash64(*f), pieces))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
             .withColumns({"lo": F.least("piece", "other").cast("int"), "hi": F.greatest("piece", "other").cast("int")})
             .drop("pieces", "piece", "other")
         )
-    edges = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(_linker(radius, n_words), "a bigint, b bigint")
-    labels = components(edges)
+    linker = _linker(radius, n_words, bits, [b[-1] for b in blocks])
+    ends = [f"{end}{i}" for end in "ab" for i in range(n_words)]
+    pairs = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(linker, ", ".join(f"{e} bigint" for e in ends))
+    named_by = lambda end: F.col(f"{end}0") if n_words == 1 else F.xxhash64(*[f"{end}{i}" for i in range(n_words)])
+    labels = components(pairs.select(named_by("a").alias("a"), named_by("b").alias("b")))
     named = stored(
         distinct.join(labels, "node", "left").select(*f, "first", F.coalesce("component", "node").alias("component")),
         "named",

@@ -94,12 +94,12 @@ def texts(n):
     return out
 
 
-@pytest.mark.parametrize("bucket_rows", [1 << 17, 8])
-def test_groups_against_brute_force(spark, bucket_rows):
+@pytest.mark.parametrize(("bucket_rows", "radius"), [(1 << 17, 3), (8, 3), (1 << 17, 0), (1 << 17, 1)])
+def test_groups_against_brute_force(spark, bucket_rows, radius):
     rows = ROWS + [(50 + i, t, "en", "s", 0) for i, t in enumerate(texts(240))]
-    found = simhash.simhash_groups(documents(spark, rows), bucket_rows=bucket_rows).collect()
+    found = simhash.simhash_groups(documents(spark, rows), radius=radius, bucket_rows=bucket_rows).collect()
     prints = [plain_fingerprint(r[1], 3) for r in rows]
-    groups = brute_components([[p] for p in prints], 3)
+    groups = brute_components([[p] for p in prints], radius)
     smallest = {}
     for r, g in zip(rows, groups, strict=True):
         if r[0] is not None:
