@@ -45,8 +45,8 @@ def in_files(df: DataFrame, at: Column, late_id: str | None = None) -> str:
     if late_id:
         part = part + F.when(F.col(late_id) % LATE_EVERY == 0, 1).otherwise(0)
     for i in range(PARTS + bool(late_id)):
-        # file sources read in the order of writing
-        df.where(F.coalesce(part, F.lit(0)) == i).write.mode("append").parquet(path)
+        # file sources read in the order of writing; a slice is one file, since a file is one micro-batch here
+        df.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
