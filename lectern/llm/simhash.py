@@ -210,6 +210,16 @@ def _bits(f: list[Column], positions: list[int]) -> Column:
     return out
 
 
+def sampled_tables(total: int, width: int, radius: int, recall: float) -> list[list[int]]:
+    """Samples of bits, as long as the logarithm of the count of fingerprints asks for, and as many as it takes for two
+    fingerprints at the very edge of the radius to agree on one of them with probability ``recall``."""
+    bits = min(width, max(8, math.ceil(math.log2(max(2, total))) - 4))
+    alike = (1 - radius / width) ** bits
+    tables = 1 if alike >= recall else math.ceil(math.log(1 - recall) / math.log(1 - alike))
+    draw = np.random.default_rng(SEED)
+    return [sorted(int(x) for x in draw.choice(width, bits, replace=False)) for _ in range(tables)]
+
+
 def simhash_groups(
     docs: DataFrame,
     key: str = "doc_id",
@@ -218,7 +228,6 @@ def simhash_groups(
     width: int = 64,
     radius: int = 3,
     recall: float | None = None,
-    recall_at: float = 0.15,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per document: ``key``, fingerprint (hexadecimal), component_id (smallest id reachable by links, itself included).
@@ -226,9 +235,8 @@ def simhash_groups(
     Fingerprints of ``width`` bits over shingles of ``words`` words link if they differ in at most ``radius`` bits.
     Without ``recall`` every link is found: the fingerprint is cut into radius + 1 blocks, one of which any two linked
     fingerprints share; a bucket is a block and its value, and Gray order starts with that block. For a radius too wide
-    for that, ``recall`` names the share of pairs that differ in the share ``recall_at`` of their bits that must meet in
-    a bucket: buckets are then samples of bits, as long as the logarithm of the count of fingerprints asks for and in
-    as many tables as the recall does. Links are checked in full in both cases.
+    for that, ``recall`` names the share of pairs at the edge of the radius that must meet in a bucket: buckets are then
+    samples of bits (``sampled_tables``), and nearer pairs meet more often. Links are checked in full in both cases.
 
     Null and wordless texts have fingerprint zero, which links like any other. Texts of equal fingerprints are linked;
     only distinct fingerprints are compared. Null ids never become a component_id, unless all of a component are null.
@@ -246,10 +254,7 @@ def simhash_groups(
         size = width // (radius + 1)
         blocks = [list(range(size * b, size * (b + 1) if b < radius else width)) for b in range(radius + 1)]
     else:
-        bits = min(width, max(8, math.ceil(math.log2(max(2, total))) - 4))
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - recall_at) ** bits))
-        draw = np.random.default_rng(SEED)
-        blocks = [sorted(int(x) for x in draw.choice(width, bits, replace=False)) for _ in range(tables)]
+        blocks = sampled_tables(total, width, radius, recall)
     blocks = [b[-48:] for b in blocks]  # a bucket is one number; what shares a block shares its end
     bits = max(map(len, blocks))
     buckets = F.array(*[F.lit(t << bits).cast("long").bitwiseOR(_bits(f, b)) for t, b in enumerate(blocks)])

@@ -122,3 +122,14 @@ def test_nothing_and_empty_texts(spark):
     found = simhash.simhash_groups(documents(spark, [(4, None, "", "", 0), (3, " ", "", "", 0), (9, LONG, "", "", 0)])).collect()
     assert {(r.doc_id, r.component_id) for r in found} == {(4, 3), (3, 3), (9, 9)}
     assert {r.fingerprint for r in found if r.doc_id < 9} == {"0" * 16}
+
+
+@pytest.mark.parametrize("total", [10_000, 200_000, 10_000_000])
+def test_recall_over_the_whole_radius_at_the_size_of_the_corpus(total):
+    draw, width, radius = np.random.default_rng(3), 128, 26
+    tables = simhash.sampled_tables(total, width, radius, 0.95)
+    assert len(tables[0]) == max(8, int(np.ceil(np.log2(total))) - 4)
+    apart = np.argsort(draw.random((1000, width)), axis=1)[:, :radius]  # the bits in which a pair at the edge differs
+    differs = np.zeros((1000, width), bool)
+    np.put_along_axis(differs, apart, True, axis=1)
+    assert np.mean([any(not d[t].any() for t in tables) for d in differs]) > 0.93
