@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Forest, components, query, stored, table
+from lectern.llm.common import Forest, components, query, spanning, stored, table
 
 #: XXH64's seed; word i of a wide fingerprint takes SEED + i.
 SEED = 42
@@ -29,6 +29,8 @@ FAN = 16
 BLOCK_BYTES, BLOCK_PAIRS = 1 << 20, 1 << 12
 #: Rows of whole buckets that are indexed together.
 BLOCK_ROWS = 1 << 17
+#: Tasks that look for near copies in a corpus of one piece; pairs of rows that one of them compares at a time.
+LEAST_TASKS, COMPARED = 16, 1 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -288,6 +290,184 @@ def simhash_groups(
     return wide.join(final, [f"f{i}" for i in range(n_words)]).select(F.col("id").alias(key), hexed.alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    parts = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in block), np.uint64, len(block))) for block in shingle_blocks(text or "", words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_fingerprint(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The SimHash of distinct shingles; words after the first take bits of the hashes mixed once more (SplitMix64)."""
+    out = []
+    for _ in range(width // 64):
+        ones = np.zeros(64, np.int64)
+        for low in range(0, len(hashes), BLOCK_ROWS):
+            ones += np.unpackbits(hashes[low : low + BLOCK_ROWS].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        hashes = hashes + np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        hashes = hashes ^ (hashes >> np.uint64(31))
+    return np.array(out, np.uint64)
+
+
+def _agreeing(key: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of equal key and different group, about ``COMPARED`` at a time."""
+    order = np.lexsort((group, key))
+    key, group = key[order], group[order]
+    n = len(key)
+    new_key = np.r_[True, key[1:] != key[:-1]]
+    run = np.flatnonzero(new_key | np.r_[True, group[1:] != group[:-1]])
+    bucket = np.flatnonzero(new_key)
+    low = np.repeat(np.r_[run[1:], n], np.diff(np.r_[run, n]))  # the first row of another group
+    count = np.repeat(np.r_[bucket[1:], n], np.diff(np.r_[bucket, n])) - low
+    rows = np.flatnonzero(count)
+    done = np.cumsum(count[rows])
+    at = 0
+    while at < len(rows):
+        # a row with more partners than that is a block of its own
+        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + COMPARED, "right")))
+        some = rows[at:end]
+        i = np.repeat(some, count[some])
+        j = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+        yield order[i], order[j]
+        at = end
+
+
+def _candidates(tables: list[list[int]], parts: int, width: int, radius: int, similarity: float, forest_only: bool):
+    """Finds pairs of nodes within the radius whose counts of shingles allow the similarity, in one share of the tables.
+
+    With ``forest_only`` only neighbours in a table's order are looked at, and a forest of them is enough; else every
+    pair that agrees on a sample of bits and is not of one group already is found.
+    """
+    names = [f"f{i}" for i in range(width // 64)]
+
+    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+        f = np.ascontiguousarray(block[names].to_numpy(np.int64)).view(np.uint64)
+        node, n, group, piece = (block[c].to_numpy(np.int64) for c in ("node", "n", "group", "piece"))
+        across = bool(block["lo"].iloc[0] != block["hi"].iloc[0])
+        found, forest = np.zeros(0, np.int64), Forest(len(block))
+
+        def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+            if across:
+                fits &= piece[i] != piece[j]
+            i, j = i[fits], j[fits]
+            close = _differ(f[i], f[j]) <= radius
+            return i[close], j[close]
+
+        for t in range(int(block["part"].iloc[0]), len(tables), parts):
+            key = np.zeros(len(block), np.uint64)
+            for p in tables[t][:64]:
+                key = (key << np.uint64(1)) | ((f[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1))
+            if forest_only:
+                order = np.lexsort((n, key))
+                same = key[order][1:] == key[order][:-1]
+                forest.unite(*near(order[:-1][same], order[1:][same]))
+                continue
+            held, rows = [found], 0
+            for i, j in _agreeing(key, group):
+                i, j = near(i, j)
+                held.append(np.minimum(i, j) * len(block) + np.maximum(i, j))
+                rows += len(i)
+                if rows > COMPARED:
+                    held, rows = [np.unique(np.concatenate(held))], 0
+            found = np.unique(np.concatenate(held))
+        if forest_only:
+            b = np.flatnonzero(forest.up != np.arange(len(block)))
+            a = forest.up[b]
+        else:
+            a, b = np.divmod(found, len(block))
+        return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    return pairs
+
+
+def near_copy_groups(
+    docs: DataFrame,
+    similarity: float,
+    key: str = "doc_id",
+    text: str = "text",
+    words: int = 5,
+    width: int = 128,
+    radius: int = 26,
+    recall: float = 0.95,
+    piece_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """One row per document: ``key``, component_id (smallest id reachable by links, itself included).
+
+    Documents link if the Jaccard similarity of their distinct shingles of ``words`` words is ``similarity`` or more.
+    Texts of equal sets of shingles are one node. SimHash of the sets, at most ``radius`` bits apart, only names candidates;
+    each is checked on the sets before it links. Two fingerprints at the edge of the radius become candidates with
+    probability ``recall`` (``sampled_tables``). The tables are made inside the tasks, so their number costs no shuffle:
+    fingerprints are dealt to pieces of about ``piece_rows``, and every two pieces meet in a task (a corpus of few
+    pieces shares out the tables instead).
+
+    Near neighbours are checked and united first; only candidates of different groups are listed then, so that a large
+    group of near copies does not become all of its pairs. Wordless and null texts link with each other only. Null ids
+    never become a component_id, unless all of a component are null.
+    """
+    spark = docs.sparkSession
+    n_words = width // 64
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    f = [f"f{i}" for i in range(n_words)]
+
+    def node_of(hashes: np.ndarray) -> int:
+        return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+    def signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for t in frame["text"]:
+                hashes = shingle_set(t, words)
+                found.append((node_of(hashes), len(hashes), *set_fingerprint(hashes, width).view(np.int64).tolist()))
+            yield pd.concat([frame[["id"]].reset_index(drop=True), pd.DataFrame(found, columns=["node", "n", *f], dtype=np.int64)], axis=1)
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for low in range(0, len(frame), 128):
+                found = [shingle_set(t, words) for t in frame["text"].iloc[low : low + 128]]
+                yield pd.DataFrame({"node": [node_of(h) for h in found], "hashes": [h.view(np.int64) for h in found]})
+
+    ids = stored(rows.mapInPandas(signatures, f"id {kind}, node bigint, n bigint, " + ", ".join(f"{c} bigint" for c in f)), "signatures")
+    distinct = stored(ids.groupBy("node").agg(F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("n", *f)]), "distinct")
+    worded = distinct.where("n > 0")
+    total = worded.count()
+    tables = sampled_tables(total, width, radius, recall)
+    pieces = max(1, -(-total // piece_rows))
+    parts = min(len(tables), max(1, -(-LEAST_TASKS // (pieces * (pieces + 1) // 2))))
+
+    def candidates(nodes: DataFrame, forest_only: bool) -> DataFrame:
+        dealt = (
+            nodes.withColumn("piece", F.pmod(F.xxhash64("node"), F.lit(pieces)).cast("long"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+            .withColumns({"lo": F.least("piece", "other").cast("int"), "hi": F.greatest("piece", "other").cast("int")})
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            .drop("other")
+        )
+        return dealt.groupBy("lo", "hi", "part").applyInPandas(_candidates(tables, parts, width, radius, similarity, forest_only), "a bigint, b bigint")
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stored(pairs.distinct(), "candidates")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = stored(distinct.join(nodes, "node", "left_semi").select(F.col("first").alias("needed_id")).distinct(), "needed")
+        texts = rows.join(needed, F.col("id").eqNullSafe(F.col("needed_id")), "left_semi").select("text")
+        held = stored(texts.mapInPandas(sets, "node bigint, hashes array<bigint>").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        met = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
+        both = F.size(F.array_intersect("ha", "hb"))
+        return stored(met.where(both / (F.size("ha") + F.size("hb") - both) >= F.lit(float(similarity))).select("a", "b"), name)
+
+    sure = similar(spanning(candidates(worded.withColumn("group", F.col("node")).drop("first"), True)), "sure")
+    united = components(sure).withColumnRenamed("component", "group")
+    grouped = stored(worded.drop("first").join(united, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
+    labels = components(sure.unionByName(similar(candidates(grouped, False), "links")))
+    named = stored(distinct.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
+    first = stored(named.groupBy("component").agg(F.min("first").alias("component_id")), "first")
+    final = named.join(first, "component").select("node", "component_id")
+    return ids.select("id", "node").join(final, "node").select(F.col("id").alias(key), "component_id")
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, links at three or fewer bits."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,3 +91,31 @@ def test_packing_of_whole_texts(spark):
         ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n, _ in sorted(pieces[doc])] == sorted(pieces[doc])
         assert sum(n for _, n, _ in pieces[doc]) == len(ids)
+
+
+def jaccard(a, b):
+    a, b = (set().union(*simhash.shingle_blocks(t, corpus_pipeline.WORDS)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("piece_rows", [1 << 20, 40])
+def test_only_links_of_the_asked_similarity_drop_documents(spark, piece_rows):
+    draw = random.Random(4)
+    bases = [[f"w{draw.randrange(3000)}" for _ in range(150)] for _ in range(5)]
+    texts = []
+    for i in range(150):
+        t = list(bases[i % 5])
+        for _ in range(draw.randrange(9)):  # similarities from 1 down to about 0.4
+            t[draw.randrange(len(t))] = f"x{i} {draw.random()}"
+        texts.append(" ".join(t))
+    texts += ["De " * 60 + " ".join(f"y{i}{j}" for j in range(20)) for i in range(6)] + ["", " "]
+    found = {r.doc_id: r.component_id for r in simhash.near_copy_groups(documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), 0.8, piece_rows=piece_rows).collect()}
+    want = list(range(len(texts)))
+    for i in range(156):
+        for j in range(i):
+            if want[i] != want[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    assert [found[i] for i in range(150, 158)] == [150, 151, 152, 153, 154, 155, 156, 156]
+    assert all(found[i] >= want[i] for i in range(156))  # no link under the similarity
+    assert np.mean([found[i] == want[i] for i in range(156)]) > 0.97 and len(set(want)) > 20
