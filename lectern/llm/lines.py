@@ -18,16 +18,20 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(F.btrim(line, F.lit(BLANK))))
 
 
-def site_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def site_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """Boilerplate of each host: (host, lines: array of 16-byte digests).
 
     A page counts a line once. Lines reach the shuffle as digests, summed before it. Of a host's lines at most
     (mean distinct lines per page) / ratio can exceed the ratio, so the array is bounded whatever the host's size.
+    With ``copies_once`` pages of a host that consist of the same lines are one page.
     """
-    pages = docs.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    digests = F.array_distinct(F.transform(F.split(F.col(f"`{text}`"), "\n"), _digest))
+    pages = docs.select(F.col(f"`{host}`").alias("host"), digests.alias("digests"))
+    if copies_once:
+        pages = pages.select("host", F.sort_array("digests").alias("digests")).distinct()
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     seen = (
-        pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _digest))).alias("line"))
+        pages.select("host", F.explode("digests").alias("line"))
         .where(F.col("line") != F.unhex(F.md5(F.lit(""))))
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
@@ -42,7 +46,7 @@ def site_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio:
     )
 
 
-def drop_site_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_site_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """Each page without its host's boilerplate: columns ``row`` (the input row, unchanged), ``text`` (the lines that
     stay, joined by line feeds), ``n_lines`` and ``n_dropped`` (long).
 
@@ -50,9 +54,12 @@ def drop_site_lines(docs: DataFrame, text: str = "text", host: str = "source", r
     host. A null text stays null, has no lines and still counts as a page; an empty text has one (blank) line. Repeated
     rows count as often as they occur. Hosts with fewer than ``least_pages`` pages lose nothing. An empty table gives
     an empty table. Extra columns, of any name, come back inside ``row``.
+
+    With ``copies_once`` rows of a host with the same lines count as one page, so that a text does not become
+    boilerplate by being copied.
     """
     marked = packed(docs, text=F.col(f"`{text}`"), host=F.col(f"`{host}`"))
-    found = site_lines(docs, text, host, ratio, least_pages)
+    found = site_lines(docs, text, host, ratio, least_pages, copies_once)
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda line: ~F.array_contains("lines", _digest(line)))
     # one pass over the lines where the host has boilerplate, none elsewhere

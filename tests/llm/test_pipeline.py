@@ -119,3 +119,12 @@ def test_only_links_of_the_asked_similarity_drop_documents(spark, piece_rows):
     assert [found[i] for i in range(150, 158)] == [150, 151, 152, 153, 154, 155, 156, 156]
     assert all(found[i] >= want[i] for i in range(156))  # no link under the similarity
     assert np.mean([found[i] == want[i] for i in range(156)]) > 0.97 and len(set(want)) > 20
+
+
+def test_copies_of_an_article_are_no_boilerplate(spark):
+    article = "\n".join(f"line {i} of the article" for i in range(8))
+    rows = [(i, "menu of the site\n" + (article if i < 10 else f"text {i}\nmore {i}"), "en", "a", 0) for i in range(30)]
+    rows += [(100 + i, article if i < 3 else f"other {i}", "en", "b", 0) for i in range(12)]
+    found = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, documents(spark, rows), FOLDER).collect()}
+    assert all(found[i] == article for i in [*range(10), 100, 101, 102])
+    assert all(found[i] == f"text {i}\nmore {i}" for i in range(10, 30))
