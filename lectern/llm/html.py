@@ -8,6 +8,7 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,19 +146,53 @@ def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
     return np.split(np.delete(covered, ends), np.cumsum([len(s) for s in streams])[:-1])
 
 
-def main_texts(pages: list[str | None], run: int = RUN) -> list[str]:
-    """Main texts of pages of one host.
+def _streams(pages: list[str | None]) -> tuple[list[list[Block]], list[list[list[str]]], list[np.ndarray], np.ndarray]:
+    """Each page's blocks, their tokens and the tokens' numbers, and the hash of each number's token."""
+    numbers: dict[str, int] = {}
+    blocks = [page_blocks(p) for p in pages]
+    words = [[b.text.split(" ") for b in page] for page in blocks]
+    streams = [np.array([numbers.setdefault(w, len(numbers)) for block in page for w in block], np.int64) for page in words]
+    return blocks, words, streams, np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in numbers], np.uint64)
+
+
+def run_hashes(tokens: np.ndarray, run: int) -> np.ndarray:
+    """A hash of every ``run`` tokens in a row, from the tokens' hashes."""
+    out = np.zeros(max(0, len(tokens) - run + 1), np.uint64)
+    for i in range(run):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + len(out)]
+    return out.view(np.int64)
+
+
+def group_runs(pages: list[str | None], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pages' distinct runs, and which of them touch a block that repetition decides."""
+    runs, touches = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    blocks, words, streams, hashes = _streams(pages)
+    for page, split, stream in zip(blocks, words, streams, strict=True):
+        found = run_hashes(hashes[stream], run)
+        is_open = np.repeat([b.place == "open" for b in page], [len(w) for w in split]) if page else np.zeros(0, bool)
+        before = np.r_[0, np.cumsum(is_open)]
+        runs.append(found)
+        touches.append(before[run : run + len(found)] > before[: len(found)])
+    distinct, at = np.unique(np.concatenate(runs), return_inverse=True)
+    touching = np.zeros(len(distinct), bool)
+    np.logical_or.at(touching, at, np.concatenate(touches))
+    return distinct, touching
+
+
+def main_texts(pages: list[str | None], run: int = RUN, shared: np.ndarray | None = None) -> list[str]:
+    """Main texts of pages of one host; ``shared``: hashes of runs that further pages of the host have too.
 
     Blocks of an article stay as they are: what articles share is quoted or copied, not boilerplate. Outside it, blocks
     that the suffix array covers go, and so do runs of ``run`` or more covered tokens in the others; unique runs stay,
     except in elements that by name hold no main text.
     """
-    numbers: dict[str, int] = {}
-    blocks = [page_blocks(p) for p in pages]
-    words = [[b.text.split(" ") for b in page] for page in blocks]
-    streams = [np.array([numbers.setdefault(w, len(numbers)) for block in page for w in block], np.int64) for page in words]
+    blocks, words, streams, hashes = _streams(pages)
     out = []
-    for page, split, covered in zip(blocks, words, repeated(streams, run), strict=True):
+    for page, split, stream, covered in zip(blocks, words, streams, repeated(streams, run), strict=True):
+        if shared is not None and len(shared):
+            starts = np.flatnonzero(np.isin(run_hashes(hashes[stream], run), shared))
+            for i in range(run):
+                covered[starts + i] = True
         at, texts = 0, []
         for block, tokens in zip(page, split, strict=True):
             gone = covered[at : at + len(tokens)]
@@ -178,26 +213,46 @@ def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """Page by page: ``key``, ``url``, text (empty if none), n_chars (its code points).
 
     Pages are grouped by the host in their URL. A host of more than ``shard_pages`` pages is dealt by hash into groups of
-    about as many, each with a suffix array of its own: boilerplate that a site repeats is in all of them, and no task
-    holds a host whole. A null html is empty. Pages without a host in their URL, and null URLs, are one host. Rows that
-    share an id are pages each. An empty table gives an empty table. Extra columns play no part.
+    about as many, each with a suffix array of its own, so no task holds a host whole. Such groups also give the hashes
+    of their runs; those that several groups of a host have are sent back to the groups in which they can decide a
+    block, so the result is that of one suffix array per host. A null html is empty. Pages without a host in their URL,
+    and null URLs, are one host. Rows that share an id are pages each. An empty table gives an empty table. Extra columns
+    play no part.
     """
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
     large = stored(
         rows.groupBy("host").count().where(F.col("count") > shard_pages).select("host", F.ceil(F.col("count") / shard_pages).alias("shards")), "hosts"
     )
-    if not large.isEmpty():
-        rows = rows.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("key", "url"), F.coalesce("shards", F.lit(1)))).drop("shards")
-    else:
-        rows = rows.withColumn("shard", F.lit(0).cast("long"))
     kind = rows.schema["key"].dataType.simpleString()
+    told = f"key {kind}, url string, text string, n_chars bigint"
+
+    def html_of(group: pd.DataFrame) -> list[str | None]:
+        return [None if pd.isna(h) else h for h in group["html"]]
 
-    def texts(group: pd.DataFrame) -> pd.DataFrame:
-        found = main_texts([None if pd.isna(h) else h for h in group["html"]], run)
+    def texts(group: pd.DataFrame, shared: np.ndarray | None = None) -> pd.DataFrame:
+        found = main_texts(html_of(group), run, shared)
         return pd.DataFrame({"key": group["key"], "url": group["url"], "text": pd.Series(found, index=group.index, dtype=object), "n_chars": pd.Series([len(t) for t in found], index=group.index, dtype="int64")})
 
-    return rows.groupBy("host", "shard").applyInPandas(texts, f"key {kind}, url string, text string, n_chars bigint").withColumnRenamed("key", key).withColumnRenamed("url", url)
+    def runs(group: pd.DataFrame) -> pd.DataFrame:
+        found, touching = group_runs(html_of(group), run)
+        return pd.DataFrame({"host": group["host"].iloc[0], "shard": group["shard"].iloc[0], "run": found, "touching": touching})
+
+    if large.isEmpty():
+        out = rows.groupBy("host").applyInPandas(lambda group: texts(group), told)
+    else:
+        parts = rows.join(large, "host").withColumn("shard", F.pmod(F.xxhash64("key", "url"), F.col("shards"))).drop("shards")
+        shared = (
+            parts.select("host", "shard", "html").groupBy("host", "shard").applyInPandas(runs, "host string, shard bigint, run bigint, touching boolean")
+            .groupBy("host", "run")
+            .agg(F.min("shard").alias("low"), F.max("shard").alias("high"), F.collect_set(F.when(F.col("touching"), F.col("shard"))).alias("shards"))
+            .where("low <> high")
+            .select("host", F.explode("shards").alias("shard"), "run")
+        )
+        whole = rows.join(large, "host", "left_anti").groupBy("host").applyInPandas(lambda group: texts(group), told)
+        dealt = parts.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard"))
+        out = whole.unionByName(dealt.applyInPandas(lambda group, found: texts(group, found["run"].to_numpy(np.int64)), told))
+    return out.withColumnRenamed("key", key).withColumnRenamed("url", url)
 
 
 @query("op4_html_main_text")

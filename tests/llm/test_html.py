@@ -108,3 +108,12 @@ def test_every_page_has_its_article_and_nothing_around_it(spark):
         article = source[source.index("<article>") :].split("</article>")[0]
         blocks = [b.text for b in html.page_blocks(article)]
         assert text == "\n".join(blocks) and len(text) > 10 and "track(" not in text and "<" not in text
+
+
+def test_a_passage_on_two_pages_of_different_groups(spark):
+    passages = [" ".join(f"p{i}w{j}" for j in range(10)) for i in range(60)]  # each on two pages of the host
+    rows = [(i, f"https://big.example/{i}", f"<div>{passages[i % 60]}</div><div>{passages[i % 60]} own{i}</div><article>text {i}</article>") for i in range(120)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for shard_pages in (512, 20):
+        found = {r.page_id: r.text for r in html.extract_main(table, shard_pages=shard_pages).collect()}
+        assert found == {i: f"own{i}\ntext {i}" for i in range(120)}
