@@ -243,7 +243,7 @@ def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     else:
         parts = rows.join(large, "host").withColumn("shard", F.pmod(F.xxhash64("key", "url"), F.col("shards"))).drop("shards")
         shared = (
-            parts.select("host", "shard", "html").groupBy("host", "shard").applyInPandas(runs, "host string, shard bigint, run bigint, touching boolean")
+            parts.groupBy("host", "shard").applyInPandas(runs, "host string, shard bigint, run bigint, touching boolean")
             .groupBy("host", "run")
             .agg(F.min("shard").alias("low"), F.max("shard").alias("high"), F.collect_set(F.when(F.col("touching"), F.col("shard"))).alias("shards"))
             .where("low <> high")
