@@ -153,7 +153,7 @@ def _sql(levels: int = 6) -> str:
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     out = [
         f"""WITH d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at_, count(*) OVER (PARTITION BY source) AS n_
-  FROM (SELECT doc_id, source, {h('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {h(lower)} ELSE {h('text')} END AS shown FROM documents))""",
+  FROM (SELECT doc_id, source, {h('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {h(lower)} ELSE {h('text')} END AS shown FROM documents))""",
         "a0 AS MATERIALIZED (SELECT source AS g, at_ AS i, n_ AS n, leaf AS h FROM d)",
     ]
     up = lambda t: [
