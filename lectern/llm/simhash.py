@@ -29,8 +29,8 @@ FAN = 16
 BLOCK_BYTES, BLOCK_PAIRS = 1 << 20, 1 << 12
 #: Rows of whole buckets that are indexed together.
 BLOCK_ROWS = 1 << 17
-#: Tasks that look for near copies in a corpus of one piece; pairs of rows that one of them compares at a time.
-LEAST_TASKS, COMPARED = 16, 1 << 20
+#: Least hashes in a band, spanning forests of candidates that leave a bucket, and candidates that a task holds.
+BAND, FORESTS, COMPARED = 4, 3, 1 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -100,9 +100,11 @@ class GrayIndex:
             low, high = np.bitwise_and.reduceat(low, starts, axis=0), np.bitwise_or.reduceat(high, starts, axis=0)
             self.levels.append((low, ~(low ^ high)))
 
-    def link(self, forest: Forest, at: int, radius: int) -> None:
+    def link(self, forest: Forest, at: int, radius: int, found=None) -> None:
         """Unite all pairs within the radius; the fingerprints stand at ``at`` and after in the forest.
 
+        With ``found``, the forest stays as it is, and found(i, j, differing bits) gets the pairs of different trees.
+
         Two nodes are followed down while their shared bits differ in no more than the radius. A step adds only the
         differences on bits that came to be shared since the step above. Nodes whose members are one tree already are
         left out together, so dense groups cost little more than their size.
@@ -123,7 +125,10 @@ class GrayIndex:
             i, j, shared, differ = i[near], j[near], shared[near], differ[near]
             if level == 0:
                 apart = i < j
-                forest.unite(at + i[apart], at + j[apart])
+                if found:
+                    found(at + i[apart], at + j[apart], differ[apart])
+                else:
+                    forest.unite(at + i[apart], at + j[apart])
                 continue
             one, tree = self._trees(forest, at, level)
             alike = one[i] & one[j] & (tree[i] == tree[j])
@@ -186,6 +191,12 @@ def _linker(radius: int, words: int, bits: int, last: list[int]):
         a, b = linked(run, f, turned(f, last_of[block["bucket"].to_numpy() >> bits]), radius)
         return pd.DataFrame({f"{end}{i}": f[rows, i].view(np.int64) for end, rows in (("a", a), ("b", b)) for i in range(words)})
 
+    return _by_buckets(edges)
+
+
+def _by_buckets(links):
+    """Feeds rows that are sorted by bucket to a function, many whole buckets at a time."""
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for frame in frames:
@@ -196,10 +207,10 @@ def _linker(radius: int, words: int, bits: int, last: list[int]):
                 last = block.iloc[-1]
                 going_on = ((block["bucket"] == last["bucket"]) & (block["lo"] == last["lo"]) & (block["hi"] == last["hi"])).to_numpy()
                 if not going_on.all():
-                    yield edges(block[~going_on])
+                    yield links(block[~going_on])
                 held, n = [block[going_on]], int(going_on.sum())
         if n:
-            yield edges(pd.concat(held, ignore_index=True))
+            yield links(pd.concat(held, ignore_index=True))
 
     return batches
 
@@ -214,9 +225,12 @@ def _bits(f: list[Column], positions: list[int]) -> Column:
 
 def sampled_tables(total: int, width: int, radius: int, recall: float) -> list[list[int]]:
     """Samples of bits, as long as the logarithm of the count of fingerprints asks for, and as many as it takes for two
-    fingerprints at the very edge of the radius to agree on one of them with probability ``recall``."""
+    fingerprints at the very edge of the radius to agree on one of them with probability ``recall``: a sample holds a bit
+    once, so each further bit must miss as many differing ones among fewer."""
     bits = min(width, max(8, math.ceil(math.log2(max(2, total))) - 4))
-    alike = (1 - radius / width) ** bits
+    alike = math.prod(max(0, width - radius - i) / (width - i) for i in range(bits))
+    if not alike:
+        raise ValueError(f"no sample of {bits} bits misses {radius} of {width}")
     tables = 1 if alike >= recall else math.ceil(math.log(1 - recall) / math.log(1 - alike))
     draw = np.random.default_rng(SEED)
     return [sorted(int(x) for x in draw.choice(width, bits, replace=False)) for _ in range(tables)]
@@ -311,76 +325,97 @@ def set_fingerprint(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _agreeing(key: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of equal key and different group, about ``COMPARED`` at a time."""
-    order = np.lexsort((group, key))
-    key, group = key[order], group[order]
-    n = len(key)
-    new_key = np.r_[True, key[1:] != key[:-1]]
-    run = np.flatnonzero(new_key | np.r_[True, group[1:] != group[:-1]])
-    bucket = np.flatnonzero(new_key)
-    low = np.repeat(np.r_[run[1:], n], np.diff(np.r_[run, n]))  # the first row of another group
-    count = np.repeat(np.r_[bucket[1:], n], np.diff(np.r_[bucket, n])) - low
-    rows = np.flatnonzero(count)
-    done = np.cumsum(count[rows])
-    at = 0
-    while at < len(rows):
-        # a row with more partners than that is a block of its own
-        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + COMPARED, "right")))
-        some = rows[at:end]
-        i = np.repeat(some, count[some])
-        j = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-        yield order[i], order[j]
-        at = end
-
-
-def _candidates(tables: list[list[int]], parts: int, width: int, radius: int, similarity: float, forest_only: bool):
-    """Finds pairs of nodes within the radius whose counts of shingles allow the similarity, in one share of the tables.
-
-    With ``forest_only`` only neighbours in a table's order are looked at, and a forest of them is enough; else every
-    pair that agrees on a sample of bits and is not of one group already is found.
+def band_keys(hashes: np.ndarray, bands: int) -> list[int]:
+    """A key for each band: what the least values of a set of hashes are under ``BAND`` random orders."""
+    draw = np.random.default_rng(SEED)
+    factors, shifts = (draw.integers(0, 1 << 64, bands * BAND, np.uint64) for _ in range(2))
+    least = np.full(bands * BAND, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for low in range(0, len(hashes), 1 << 12):
+        mixed = hashes[low : low + (1 << 12), None] * (factors | np.uint64(1)) + shifts
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    return [int(np.uint64(xxhash.xxh3_64_intdigest(least[BAND * b : BAND * b + BAND].tobytes(), b)).view(np.int64)) for b in range(bands)]
+
+
+def strongest_forest(forest: Forest, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Which of the links make a spanning forest over the trees that are there, those of fewest differing bits first."""
+    trees, kept = Forest(0), []
+    trees.up = forest.up.copy()
+    for level in np.unique(differ):
+        edges = np.flatnonzero(differ == level)
+        while len(edges):
+            a, b = trees.find(i[edges]), trees.find(j[edges])
+            apart = a != b
+            edges, low, high = edges[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            _, first = np.unique(high, return_index=True)  # each root hooks once, to a lower one: no rings
+            trees.up[high[first]] = low[first]
+            kept.append(edges[first])
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+class Candidates:
+    """Links between rows, cut down again and again to ``FORESTS`` spanning forests that share no link."""
+
+    def __init__(self, forest: Forest, allowed):
+        self.forest, self.allowed, self.n, self.rows = forest, allowed, 0, [np.zeros((0, 3), np.int64)]
+
+    def add(self, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> None:
+        good = (self.forest.up[i] != self.forest.up[j]) & self.allowed(i, j)
+        self.rows.append(np.stack([np.minimum(i, j)[good], np.maximum(i, j)[good], differ[good].astype(np.int64)], axis=1))
+        self.n += int(good.sum())
+        if self.n > max(COMPARED, 2 * FORESTS * len(self.forest.up)):
+            self.rows = [self.forests()]
+            self.n = len(self.rows[0])
+
+    def forests(self) -> np.ndarray:
+        rest, out = np.unique(np.concatenate(self.rows), axis=0), []
+        for _ in range(FORESTS):
+            some = strongest_forest(self.forest, rest[:, 0], rest[:, 1], rest[:, 2])
+            out.append(rest[some])
+            rest = np.delete(rest, some, axis=0)
+        return np.concatenate(out)
+
+
+def _candidates(width: int, radius: int, similarity: float, every: bool):
+    """Links to be checked inside each bucket: pairs of nodes of different groups whose fingerprints are within the radius
+    and whose counts of shingles allow the similarity, as few as connect the same trees three times over.
+
+    Neighbours in Gray order are looked at, and with ``every`` all pairs, by the index.
     """
     names = [f"f{i}" for i in range(width // 64)]
 
     def pairs(block: pd.DataFrame) -> pd.DataFrame:
+        run = block.groupby(["bucket", "lo", "hi"], sort=False).ngroup().to_numpy()
+        block = block[np.bincount(run)[run] > 1]
+        if block.empty:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        run = block.groupby(["bucket", "lo", "hi"], sort=False).ngroup().to_numpy()
         f = np.ascontiguousarray(block[names].to_numpy(np.int64)).view(np.uint64)
-        node, n, group, piece = (block[c].to_numpy(np.int64) for c in ("node", "n", "group", "piece"))
-        across = bool(block["lo"].iloc[0] != block["hi"].iloc[0])
-        found, forest = np.zeros(0, np.int64), Forest(len(block))
-
-        def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
-            if across:
-                fits &= piece[i] != piece[j]
-            i, j = i[fits], j[fits]
-            close = _differ(f[i], f[j]) <= radius
-            return i[close], j[close]
-
-        for t in range(int(block["part"].iloc[0]), len(tables), parts):
-            key = np.zeros(len(block), np.uint64)
-            for p in tables[t][:64]:
-                key = (key << np.uint64(1)) | ((f[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1))
-            if forest_only:
-                order = np.lexsort((n, key))
-                same = key[order][1:] == key[order][:-1]
-                forest.unite(*near(order[:-1][same], order[1:][same]))
-                continue
-            held, rows = [found], 0
-            for i, j in _agreeing(key, group):
-                i, j = near(i, j)
-                held.append(np.minimum(i, j) * len(block) + np.maximum(i, j))
-                rows += len(i)
-                if rows > COMPARED:
-                    held, rows = [np.unique(np.concatenate(held))], 0
-            found = np.unique(np.concatenate(held))
-        if forest_only:
-            b = np.flatnonzero(forest.up != np.arange(len(block)))
-            a = forest.up[b]
-        else:
-            a, b = np.divmod(found, len(block))
-        return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+        order = np.lexsort((*(f[:, w] for w in range(f.shape[1])), gray_rank(f[:, 0]), run))
+        run, f = run[order], f[order]
+        node, n, group, piece = (block[c].to_numpy(np.int64)[order] for c in ("node", "n", "group", "piece"))
+        across = (block["lo"].to_numpy() != block["hi"].to_numpy())[order]
+        forest = Forest(len(block))
+        _, first, inverse = np.unique(np.stack([run, group]), axis=1, return_index=True, return_inverse=True)
+        forest.up = first[inverse.ravel()]
+        found = Candidates(forest, lambda i, j: (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (~across[i] | (piece[i] != piece[j])))
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        sizes = np.diff(np.r_[starts, len(run)])
+        ends = np.repeat(starts + sizes, sizes)
+        rows = np.arange(len(run))
+        for by in range(1, 2 * FAN):
+            rows = rows[rows + by < ends[rows]]
+            differ = _differ(f[rows], f[rows + by])
+            near = differ <= radius
+            found.add(rows[near], rows[near] + by, differ[near])
+        if every:
+            for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                if size >= 2 * FAN:
+                    GrayIndex(f[start : start + size]).link(forest, start, radius, found.add)
+        links = found.forests()
+        a, b = node[links[:, 0]], node[links[:, 1]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return pairs
+    return _by_buckets(pairs)
 
 
 def near_copy_groups(
@@ -390,25 +425,26 @@ def near_copy_groups(
     text: str = "text",
     words: int = 5,
     width: int = 128,
-    radius: int = 26,
-    recall: float = 0.95,
+    radius: int = 32,
+    recall: float = 0.99,
     piece_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per document: ``key``, component_id (smallest id reachable by links, itself included).
 
     Documents link if the Jaccard similarity of their distinct shingles of ``words`` words is ``similarity`` or more.
-    Texts of equal sets of shingles are one node. SimHash of the sets, at most ``radius`` bits apart, only names candidates;
-    each is checked on the sets before it links. Two fingerprints at the edge of the radius become candidates with
-    probability ``recall`` (``sampled_tables``). The tables are made inside the tasks, so their number costs no shuffle:
-    fingerprints are dealt to pieces of about ``piece_rows``, and every two pieces meet in a task (a corpus of few
-    pieces shares out the tables instead).
-
-    Near neighbours are checked and united first; only candidates of different groups are listed then, so that a large
-    group of near copies does not become all of its pairs. Wordless and null texts link with each other only. Null ids
-    never become a component_id, unless all of a component are null.
+    Texts of equal sets of shingles are one node. Nodes meet in buckets: bands of ``BAND`` least hashes, as many bands as
+    two sets of just that similarity need to share one with probability ``recall``, whatever the corpus's size. In a
+    bucket the Gray-order index finds the pairs whose SimHash differs in at most ``radius`` bits (sets of similarity 0.8
+    differ in 19 of 128 on average, with a deviation of 4). They only are candidates: each is checked on the sets.
+
+    A bucket gives no list of its pairs. Neighbours in Gray order are checked and united first. Then all pairs of
+    different groups are looked at inside the task, and what leaves it are three spanning forests, the nearest pairs
+    first, that share no pair; so a true link is missed only if three ways around it failed the check. A bucket over
+    ``piece_rows`` is cut into pieces that meet two by two. Wordless and null texts link with each other only. Null ids
+    never become a component_id, unless all of a component are null. Rows that share an id share their result. An empty
+    table gives an empty table; extra columns play no part.
     """
-    spark = docs.sparkSession
-    n_words = width // 64
+    n_words, bands = width // 64, max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**BAND)))
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     f = [f"f{i}" for i in range(n_words)]
@@ -421,8 +457,8 @@ def near_copy_groups(
             found = []
             for t in frame["text"]:
                 hashes = shingle_set(t, words)
-                found.append((node_of(hashes), len(hashes), *set_fingerprint(hashes, width).view(np.int64).tolist()))
-            yield pd.concat([frame[["id"]].reset_index(drop=True), pd.DataFrame(found, columns=["node", "n", *f], dtype=np.int64)], axis=1)
+                found.append((node_of(hashes), len(hashes), *set_fingerprint(hashes, width).view(np.int64).tolist(), band_keys(hashes, bands)))
+            yield pd.concat([frame[["id"]].reset_index(drop=True), pd.DataFrame(found, columns=["node", "n", *f, "bands"])], axis=1)
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -430,23 +466,28 @@ def near_copy_groups(
                 found = [shingle_set(t, words) for t in frame["text"].iloc[low : low + 128]]
                 yield pd.DataFrame({"node": [node_of(h) for h in found], "hashes": [h.view(np.int64) for h in found]})
 
-    ids = stored(rows.mapInPandas(signatures, f"id {kind}, node bigint, n bigint, " + ", ".join(f"{c} bigint" for c in f)), "signatures")
-    distinct = stored(ids.groupBy("node").agg(F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("n", *f)]), "distinct")
-    worded = distinct.where("n > 0")
-    total = worded.count()
-    tables = sampled_tables(total, width, radius, recall)
-    pieces = max(1, -(-total // piece_rows))
-    parts = min(len(tables), max(1, -(-LEAST_TASKS // (pieces * (pieces + 1) // 2))))
-
-    def candidates(nodes: DataFrame, forest_only: bool) -> DataFrame:
-        dealt = (
-            nodes.withColumn("piece", F.pmod(F.xxhash64("node"), F.lit(pieces)).cast("long"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
-            .withColumns({"lo": F.least("piece", "other").cast("int"), "hi": F.greatest("piece", "other").cast("int")})
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-            .drop("other")
-        )
-        return dealt.groupBy("lo", "hi", "part").applyInPandas(_candidates(tables, parts, width, radius, similarity, forest_only), "a bigint, b bigint")
+    ids = stored(rows.mapInPandas(signatures, f"id {kind}, node bigint, n bigint, " + ", ".join(f"{c} bigint" for c in f) + ", bands array<bigint>"), "signatures")
+    distinct = stored(ids.groupBy("node").agg(F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("n", *f)], F.min("bands").alias("bands")), "distinct")
+    worded = distinct.where("n > 0").drop("first")
+    buckets = worded.select("node", F.explode("bands").alias("bucket"))
+    counts = buckets.groupBy("bucket").count().where(F.col("count") > piece_rows) if worded.count() > piece_rows else None
+    hot = counts and stored(counts.select("bucket", F.ceil(F.col("count") / piece_rows).alias("pieces")), "hot")
+
+    def candidates(nodes: DataFrame, every: bool) -> DataFrame:
+        dealt = nodes.withColumn("bucket", F.explode("bands")).drop("bands")
+        if hot is None or hot.isEmpty():
+            dealt = dealt.withColumns({"piece": F.lit(0).cast("long"), "lo": F.lit(0), "hi": F.lit(0)})
+        else:
+            pieces = F.coalesce(F.col("pieces"), F.lit(1))
+            dealt = (
+                dealt.join(hot, "bucket", "left")
+                .withColumn("piece", F.pmod(F.xxhash64("node"), pieces))
+                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+                .withColumns({"lo": F.least("piece", "other").cast("int"), "hi": F.greatest("piece", "other").cast("int")})
+                .drop("pieces", "other")
+            )
+        sort = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        return sort.mapInPandas(_candidates(width, radius, similarity, every), "a bigint, b bigint")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs.distinct(), "candidates")
@@ -458,10 +499,10 @@ def near_copy_groups(
         both = F.size(F.array_intersect("ha", "hb"))
         return stored(met.where(both / (F.size("ha") + F.size("hb") - both) >= F.lit(float(similarity))).select("a", "b"), name)
 
-    sure = similar(spanning(candidates(worded.withColumn("group", F.col("node")).drop("first"), True)), "sure")
+    sure = similar(candidates(worded.withColumn("group", F.col("node")), False), "sure")
     united = components(sure).withColumnRenamed("component", "group")
-    grouped = stored(worded.drop("first").join(united, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
-    labels = components(sure.unionByName(similar(candidates(grouped, False), "links")))
+    grouped = stored(worded.join(united, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
+    labels = components(sure.unionByName(similar(candidates(grouped, True), "links")))
     named = stored(distinct.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
     first = stored(named.groupBy("component").agg(F.min("first").alias("component_id")), "first")
     final = named.join(first, "component").select("node", "component_id")
