@@ -97,8 +97,17 @@ def leaf_cuts(n: int, leaf: int) -> list[int]:
     return [n * i // parts for i in range(parts + 1)]
 
 
-def decode_all(decoder, ids) -> pd.Series:
-    return pd.Series([None if x is None else decoder.decode(np.asarray(x).tolist(), skip_special_tokens=False) for x in ids], dtype=object)
+def decoding(decoder):
+    """A function from ids to text, as the library decodes them. Without a decoder of its own, a tokenizer's text is the
+    tokens it knows with a space between them."""
+    if decoder.decoder is not None:
+        return lambda ids: decoder.decode(ids, skip_special_tokens=False)
+    names = {i: token for token, i in decoder.get_vocab().items()}
+    return lambda ids: " ".join(filter(None, map(names.get, ids)))
+
+
+def decode_all(decode, ids) -> pd.Series:
+    return pd.Series([None if x is None else decode(np.asarray(x).tolist()) for x in ids], dtype=object)
 
 
 def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS, decoded: str | None = None) -> DataFrame:
@@ -118,16 +127,23 @@ def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
-    def answer(decoder, keys, ids: list[np.ndarray]) -> pd.DataFrame:
+    def answer(decode, keys, ids: list[np.ndarray]) -> pd.DataFrame:
         out = pd.DataFrame({"key": keys, "ids": ids})
-        return out.assign(**{decoded: decode_all(decoder, ids)}) if decoded else out
+        return out.assign(**{decoded: decode_all(decode, ids)}) if decoded else out
 
     def short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(tokens)
+        decode = decoding(encoder.tokenizer)
         for frame in frames:
             for low in range(0, len(frame), 512):
                 some = frame.iloc[low : low + 512]
-                yield answer(encoder.tokenizer, some["key"].array, list(encoder.encode(some["text"].tolist())))
+                yield answer(decode, some["key"].array, list(encoder.encode(some["text"].tolist())))
+
+    def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row, owner, whole in zip(frame["row"], frame["key"], frame["text"], strict=True):
+                cuts = leaf_cuts(len(whole), leaf_chars)
+                yield pd.DataFrame({"row": row, "key": pd.Series([owner] * (len(cuts) - 1), dtype=frame["key"].dtype), "low": cuts[:-1], "text": [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]})
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokenizer(tokens)
@@ -142,23 +158,16 @@ def bpe_encode(docs: DataFrame, tokens: str, key: str = "doc_id", text: str = "t
     def joined(parts: pd.DataFrame) -> pd.DataFrame:
         if tokens not in loaded:
             loaded[tokens] = tokenizer(tokens)
+            loaded["decode"] = decoding(loaded[tokens])
         parts = parts.sort_values("low")
         whole = "".join(parts["text"])
         spans = [Span(*(np.asarray(x, np.int64) for x in row)) for row in zip(parts["ids"], parts["starts"], parts["ends"], strict=True)]
         ids = concatenate(loaded[tokens], whole, spans, [*parts["low"], len(whole)]).ids
-        return answer(loaded[tokens], parts["key"].iloc[:1].array, [ids])
+        return answer(loaded["decode"], parts["key"].iloc[:1].array, [ids])
 
     n = F.char_length("text")
-    parts = F.pow(2.0, F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("n") / leaf_chars)))).cast("long")
-    cut = lambda i: F.floor(F.col("n") * i / F.col("parts"))
-    pieces = (
-        rows.where(n > leaf_chars)
-        .select(F.monotonically_increasing_id().alias("row"), "key", "text", n.cast("long").alias("n"))
-        .withColumn("parts", parts)
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .withColumns({"low": cut(F.col("i")), "high": cut(F.col("i") + 1)})
-        .select("row", "key", "low", F.substring("text", F.col("low").cast("int") + 1, (F.col("high") - F.col("low")).cast("int")).alias("text"))
-    )
+    long = rows.where(n > leaf_chars).select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    pieces = long.mapInPandas(cut_up, f"row bigint, key {kind}, low bigint, text string")
     encoded = pieces.repartition("row", "low").mapInPandas(leaves, f"row bigint, key {kind}, low bigint, text string, ids array<int>, starts array<int>, ends array<int>")
     out = f"key {kind}, ids array<int>" + (f", `{decoded}` string" if decoded else "")
     long = encoded.groupBy("row").applyInPandas(joined, out)
@@ -174,11 +183,11 @@ def bpe_decode(coded: DataFrame, tokens: str, ids: str = "ids", decoded: str = "
     schema = coded.select(*[f"`{c}`" for c in rest]).schema.add(decoded, "string")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = tokenizer(tokens)
+        decode = decoding(tokenizer(tokens))
         for frame in frames:
             for low in range(0, len(frame), 256):
                 some = frame.iloc[low : low + 256]
-                yield some[rest].assign(**{decoded: decode_all(decoder, some[ids]).array})
+                yield some[rest].assign(**{decoded: decode_all(decode, some[ids]).array})
 
     return coded.mapInPandas(batches, schema)
 

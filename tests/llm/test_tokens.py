@@ -156,3 +156,23 @@ def test_bins_are_best_fit_and_bounded(lengths, most):
 
 def test_long_text_in_one_piece_of_input():
     assert by_tree(LONG, 1 << 12) == library(WORD, LONG)
+
+
+def test_every_character_before_a_stop(monkeypatch):
+    """Some letters end in a mark once they are normalised, and a mark stays with the stop that follows."""
+    path = tokens.public("word_bpe_49k.json")
+    encoder, library = tokens.WordEncoder(path), tokens.tokenizer(path)
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c <= 0xDFFF]
+    for low in range(0, len(chars), 4096):
+        texts = [f"a{c}. {c}, a{c} {c}b{c}" for c in chars[low : low + 4096]]
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_decoding_is_the_librarys(name):
+    library = tokens.tokenizer(tokens.public(name))
+    decode, draw = bpe.decoding(library), np.random.default_rng(1)
+    for _ in range(300):
+        ids = draw.integers(0, 51_000, draw.integers(0, 20)).tolist()
+        assert decode(ids) == library.decode(ids, skip_special_tokens=False)
