@@ -37,13 +37,15 @@ class Shard:
         self.recall = self._audit(audited, recall)
 
     def _audit(self, audited: int, recall: float) -> float:
-        """Double the beam until it finds the asked share of the links of a sample of the vectors, counted by brute force."""
+        """Double the beam until it finds the asked share of a vector's links, on average over those of a sample that have
+        any, counted by brute force: each vector counts alike, so a dense group doesn't decide for the others."""
         sample = np.random.default_rng(len(self.vectors)).permutation(len(self.vectors))[:audited]
-        true = [np.flatnonzero(self.vectors @ self.vectors[i] >= self.cosine) for i in sample]
-        links = sum(len(t) for t in true) - len(sample)
+        true = np.array([np.count_nonzero(self.vectors @ self.vectors[i] >= self.cosine) for i in sample]) - 1
+        linked = true > 0
         while True:
             q, _ = self.hits(self.vectors[sample])
-            reached = 1.0 if not links else (len(q) - len(sample)) / links
+            found = np.bincount(q, minlength=len(sample)) - 1
+            reached = float(np.mean(found[linked] / true[linked])) if linked.any() else 1.0
             if reached >= recall or self.beam >= len(self.vectors):
                 return reached
             self.beam = min(2 * self.beam, len(self.vectors))
@@ -149,7 +151,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
     Null, empty and zero vectors, vectors with null or non-finite elements, and vectors without a label have no links
     and are components of their own. Null ids never become a component_id unless all of the component are null. Rows
-    that share an id are vectors each; they share the component of the first of equal vectors. An empty table gives an
+    that share an id are vectors each, with links and components of their own. Ids may be of any type that has an order. An empty table gives an
     empty table. Extra columns play no part.
     """
     given = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.col(f"`{label}`").alias("label"))
@@ -160,7 +162,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         given.where("vector IS NOT NULL")
         .groupBy("label", "vector")
         .agg(F.min("id").alias("first"), F.count("*").alias("n"))
-        .withColumn("node", F.coalesce(F.col("first").cast("long"), F.xxhash64("label", "vector"))),
+        .withColumn("node", F.monotonically_increasing_id()),  # a number of its own, whatever the ids are; fixed once written
         "vectors",
     )
     shards = distinct.groupBy("label", F.size("vector").alias("size")).agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))

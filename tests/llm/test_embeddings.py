@@ -87,3 +87,28 @@ def test_null_and_repeated_ids_and_nothing(spark):
     found = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, kind)).collect())
     assert found == [("3", 2, "3", True), ("3", 2, "3", True), ("None", 1, "None", True), ("None", 1, "None", True), ("None", 2, "3", False)]
     assert embeddings.near_vectors(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_one_id_with_different_vectors_and_ids_of_text(spark):
+    rows = [("a", [1.0, 0.0, 0.0], 1), ("a", [0.0, 1.0, 0.0], 1), ("b", [1.0, 0.01, 0.0], 1), ("c", [0.0, 0.0, 1.0], 1)]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<float>, label int"))
+    assert sorted(map(tuple, found.collect())) == [("a", 0, "a", True), ("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True)]
+
+
+def test_a_dense_group_does_not_hide_what_others_miss(monkeypatch):
+    """Of 2,000 vectors 500 are one group; the others are pairs, which a beam that stops at the first node never finds."""
+    draw = np.random.default_rng(7)
+    pairs = np.repeat(draw.normal(size=(750, 16)), 2, axis=0) + draw.normal(size=(1500, 16)) * 0.01
+    vectors = embeddings.unit(np.concatenate([draw.normal(size=16) + draw.normal(size=(500, 16)) * 0.01, pairs]))
+    search = Graph.search
+
+    def poor(self, queries, beam):
+        ids, sims = search(self, queries, beam)
+        if beam < 32:
+            lone = sims[:, -1] < 0.9
+            ids[lone, 1:], sims[lone, 1:] = -1, -np.inf
+        return ids, sims
+
+    monkeypatch.setattr(Graph, "search", poor)
+    shard = embeddings.Shard(vectors, 0.93, beam=8, audited=500)
+    assert shard.beam >= 32 and shard.recall >= embeddings.RECALL
