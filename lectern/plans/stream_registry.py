@@ -1,8 +1,8 @@
 """Streaming forms of registered queries: the same tables read as streams, run to their end.
 
-A table is first written to the shared scratch folder in files by time, one of which is one
-micro-batch, so state goes over batches. Queries marked "late" move every seventeenth row to the
-next file. Each query writes closed results to a layer in the scratch folder and returns that layer.
+A table is first written to the shared scratch folder in slices of time, each of which is one
+micro-batch of several files, so state goes over batches. Queries marked "late" move every seventeenth
+row to the next slice. Each query writes closed results to a layer in the scratch folder and returns that layer.
 Windows and timers that the watermark has not reached stay open, as they would in a running job.
 """
 
@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions.measures import money
 from lectern.functions.timefn import micros
@@ -27,35 +28,47 @@ from lectern.streaming import operators as s
 from lectern.streaming.run import layer_stream, scratch_layer, to_layer, to_window_table
 
 
-PARTS, LATE_EVERY = 3, 17
+#: Slices of time, rows that come a slice late, and files of a slice, which are one micro-batch.
+PARTS, LATE_EVERY, FILES = 3, 17, 4
 TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate", "documents": "doc_id"}
 _written: dict[tuple, str] = {}
 
 
 def in_files(df: DataFrame, at: Column, late_id: str | None = None) -> str:
     """A new folder with the rows in ``PARTS`` slices of time, in that order. With ``late_id`` rows whose number
-    divides by seventeen come a slice later, the last of them in a slice of their own."""
-    at = at.cast("bigint")
+    divides by seventeen come a slice later, the last of them in a slice of their own.
+
+    One job deals the rows out to slices. Each slice is then ``FILES`` files, written by as many tasks; file sources
+    read in the order of writing, so a micro-batch of that many files is a slice.
+    """
+    at, spark = at.cast("bigint"), df.sparkSession
     bounds = df.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
-    path = scratch_dir(df.sparkSession, "files")
+    path = scratch_dir(spark, "files")
     if bounds["low"] is None:
         df.write.parquet(path)
         return path
     part = F.least(F.lit(PARTS - 1), F.floor((at - bounds["low"]) * PARTS / (bounds["high"] - bounds["low"] + 1)))
     if late_id:
         part = part + F.when(F.col(late_id) % LATE_EVERY == 0, 1).otherwise(0)
+    dealt = scratch_dir(spark, "slices")
+    df.withColumn("_slice", F.coalesce(part, F.lit(0)).cast("int")).write.partitionBy("_slice").parquet(dealt)
+    slices = spark.read.schema(StructType([*df.schema.fields, StructField("_slice", IntegerType())])).parquet(dealt)
     for i in range(PARTS + bool(late_id)):
-        # file sources read in the order of writing; a slice is one file, since a file is one micro-batch here
-        df.where(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+        slices.where(F.col("_slice") == i).drop("_slice").repartition(FILES).write.mode("append").parquet(path)
+        for _ in range(len(spark.read.schema(df.schema).parquet(path).inputFiles()), FILES * (i + 1)):  # a slice of fewer rows
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return table_stream(spark, path, like.schema, files_per_batch=1)
+    return table_stream(spark, path, like.schema, files_per_batch=FILES)
 
 
 def stream(spark: SparkSession, sf: str, name: str, late_id: str | None = None) -> DataFrame:
-    table, key = m.table(spark, sf, name), (spark.sparkContext.applicationId, sf, name, late_id)
+    """A table in slices, written once per session and state of the table's files."""
+    table = m.table(spark, sf, name)
+    files = table.select("_metadata.file_modification_time").agg(F.max("file_modification_time"), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, sf, name, late_id, *files)
     if key not in _written:
         at = F.col(TIMES[name])
         _written[key] = in_files(table, at if name == "documents" else micros(at), late_id)
