@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def route_stage() -> Column:
+    """Of changes of one instant an update follows a creation and a delete follows both."""
+    return F.when(F.col("op") == "d", 2).when(F.col("op") == "u", 1).otherwise(0)
+
+
 def current_config(changes: DataFrame, keys: list[str], seq: str = "ts_ms") -> DataFrame:
     """Fold change rows ``op, before, after`` to the rows that hold now.
 
@@ -15,12 +20,34 @@ def current_config(changes: DataFrame, keys: list[str], seq: str = "ts_ms") -> D
     """
     row = F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after"))
     rows = changes.select("op", seq, row.alias("_row")).select("op", seq, "_row.*")
-    stage = F.when(F.col("op") == "d", 2).when(F.col("op") == "u", 1).otherwise(0)
-    last = Window.partitionBy(*keys).orderBy(F.col(seq).desc(), stage.desc())
+    last = Window.partitionBy(*keys).orderBy(F.col(seq).desc(), route_stage().desc())
     kept = rows.withColumn("_rn", F.row_number().over(last)).filter((F.col("_rn") == 1) & (F.col("op") != "d"))
     return kept.drop("op", seq, "_rn")
 
 
+def config_spans(changes: DataFrame, keys: list[str], at: str = "ts") -> DataFrame:
+    """Change rows ``op, before, after`` as routes with the time they held: their columns, ``_from`` and ``_to`` (null: still).
+
+    The batch form of live routing: a fact takes the route of the span that its time lies in.
+    """
+    row = F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after"))
+    rows = changes.select("op", F.col(at).alias("_from"), route_stage().alias("_stage"), row.alias("_row")).select("op", "_from", "_stage", "_row.*")
+    later = Window.partitionBy(*keys).orderBy("_from", "_stage")
+    spans = rows.withColumn("_to", F.lead("_from").over(later))
+    return spans.filter((F.col("op") != "d") & (F.col("_to").isNull() | (F.col("_to") > F.col("_from")))).drop("op", "_stage")
+
+
+def route_by_time(changes: DataFrame, spans: DataFrame, keys: dict[str, str], ts: str = "ts") -> DataFrame:
+    """Change rows with the route that held at their time -> ``sink_table, sink_pk, _op, data, ts``."""
+    on = (changes[ts] >= spans["_from"]) & (spans["_to"].isNull() | (changes[ts] < spans["_to"]))
+    for fact, route in keys.items():
+        on = on & (changes[fact] == spans[route])
+    pk = F.col("sink_pk") if "sink_pk" in spans.columns else F.lit(None).cast("string")
+    return changes.join(spans, on, "inner").select(
+        "sink_table", F.coalesce(pk, F.lit("id")).alias("sink_pk"), F.col("type").alias("_op"),
+        listed_columns("data", "sink_columns").alias("data"), changes[ts])
+
+
 def listed_columns(data: str, columns: str) -> Column:
     """Only those entries of the map whose key the comma-separated list names."""
     names = F.split(F.col(columns), ",")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.measures import money
-from lectern.functions.timefn import datetime_text, micros, to_millis
+from lectern.functions.timefn import datetime_text, from_micros, micros, to_millis
 from lectern.operators.joins import order_details, paid_details, registrations
 from lectern.operators.keyed import first_logins, repair_new_flag
 from lectern.operators.neighbours import with_neighbours
@@ -325,3 +325,48 @@ def config_changes(spark: SparkSession, changes: list[tuple], row_type: str) ->
 
 def _struct(columns: str) -> str:
     return ", ".join(c.strip().replace(" ", ":") for c in columns.split(","))
+
+
+# Routes at the start, and changes of them (op, table, type, target, columns) with the hundredth of the
+# events' time at which each happens. Of the two at one instant the delete is the later.
+LIVE_ROUTES = [
+    ("cart_info", "insert", "dwd_trade_cart_add", "id,user_id"),
+    ("favor_info", "insert", "dwd_interaction_favor_add", "id,user_id,number"),
+    ("user_info", "insert", "dwd_user_register", "id,user_id"),
+]
+LIVE_CHANGES = [
+    ("c", "favor_info", "update", "dwd_interaction_favor_change", "id,number", 20),
+    ("u", "cart_info", "insert", "dwd_trade_cart_add", "id,number", 35),
+    ("d", "user_info", "insert", "dwd_user_register", "id,user_id", 50),
+    ("u", "cart_info", "insert", "dwd_trade_cart", "id,user_id,number", 60),
+    ("d", "favor_info", "insert", "dwd_interaction_favor_add", "id,user_id,number", 70),
+    ("u", "favor_info", "insert", "dwd_interaction_favor_all", "id", 70),
+    ("c", "user_info", "insert", "dwd_user_register_again", "id", 80),
+]
+LIVE_KEYS = {"table": "source_table", "type": "source_type"}
+TABLE_OF_EVENT = {
+    "view": "review_info", "click": "favor_info", "signup": "user_info", "purchase": "cart_info", "error": "comment_info",
+}
+
+
+def live_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as change rows (``table, type, data, ts, log_id``) and, among them by time, the changes of their routes
+    (``op, before, after, ts``)."""
+    events = table(spark, sf, "events")
+    name = F.create_map(*[F.lit(x) for pair in TABLE_OF_EVENT.items() for x in pair])[F.col("event_type")]
+    rows = events.select(
+        name.alias("table"), F.when(F.col("event_id") % 5 == 0, "update").otherwise("insert").alias("type"),
+        F.create_map(F.lit("id"), _text(F.col("event_id")), F.lit("user_id"), _text(F.col("user_id")),
+                     F.lit("number"), _text(key_number())).alias("data"),
+        "ts", F.col("event_id").alias("log_id"))
+    low, high = events.agg(F.min(micros("ts")), F.max(micros("ts"))).first()
+    kind = f"struct<{_struct(FACT_CONFIG_TYPE)}>"
+    low, high = low or 0, high or 0
+    changes = [(op, route if op == "d" else None, None if op == "d" else route, low + (high - low) * part // 100)
+               for op, *route, part in LIVE_CHANGES]
+    config = spark.createDataFrame(changes, f"op string, before {kind}, after {kind}, at bigint")
+    return rows.unionByName(config.withColumn("ts", from_micros("at")).drop("at"), allowMissingColumns=True)
+
+
+def live_routes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LIVE_ROUTES, FACT_CONFIG_TYPE)

@@ -291,6 +291,22 @@ def _(spark, sf):
                          "ts").na.fill("-")
 
 
+def live_columns(routed):
+    """Routed rows with the columns that the live routes may list."""
+    return routed.select("sink_table", "_op", *[F.col("data")[c].alias(c) for c in ("id", "user_id", "number")], "ts").na.fill("-")
+
+
+@query("j5_routing_by_time")
+def _(spark, sf):
+    """Each change row by the route that held at its time."""
+    rows = m.live_changes(spark, sf)
+    start = m.live_routes(spark)
+    first = start.select(F.lit("r").alias("op"), F.struct(*start.columns).alias("after"), F.lit("0001-01-01").cast("timestamp_ntz").alias("ts"))
+    config = rows.filter(F.col("op").isNotNull()).select("op", "before", "after", "ts").unionByName(first, allowMissingColumns=True)
+    spans = routing.config_spans(config, list(m.LIVE_KEYS.values()))
+    return live_columns(routing.route_by_time(rows.filter(F.col("table").isNotNull()), spans, m.LIVE_KEYS))
+
+
 @query("s4_config_in_force")
 def _(spark, sf):
     """Change rows per configured route, with the route's columns."""

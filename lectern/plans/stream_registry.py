@@ -19,12 +19,13 @@ from lectern.functions.timefn import micros
 from lectern.operators import split
 from lectern.plans import model as m
 from lectern.plans import windows as w
-from lectern.plans.registry import query
+from lectern.plans.registry import live_columns, query
 from lectern.session import scratch_dir, stored
 from lectern.sinks.layers import read_window_table
 from lectern.sources.messages import table_stream
 from lectern.streaming import jobs, windows
 from lectern.streaming import operators as s
+from lectern.streaming.live_routing import route_live
 from lectern.streaming.run import layer_stream, scratch_layer, to_layer, to_window_table
 
 
@@ -139,6 +140,20 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, layers)
 
 
+SETTLE_SECONDS = 3600
+
+
+@query("stream_j5_live_routing")
+def _(spark, sf):
+    """Late. Routes come, change and go while the facts stream; the state begins with the routes in force."""
+    rows = stored(m.live_changes(spark, sf), "live")
+    path = in_files(rows, micros("ts"), "log_id")
+    changes = file_stream(spark, path, rows).filter(F.col("table").isNotNull()).select("table", "type", "data", "ts")
+    config = file_stream(spark, path, rows).filter(F.col("op").isNotNull()).select("op", "before", "after", "ts")
+    routed = route_live(changes, config, m.live_routes(spark), m.LIVE_KEYS, settle_seconds=SETTLE_SECONDS)
+    return live_columns(scratch_layer(routed, "j5"))
+
+
 def login_layer(spark: SparkSession, sf: str) -> DataFrame:
     """First logins, written by a query of their own, as the next query's stream."""
     root = scratch_dir(spark, "logins")

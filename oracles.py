@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lectern.plans.model import LIVE_CHANGES, LIVE_ROUTES, TABLE_OF_EVENT
+
 EV = """ev AS (
   SELECT event_id AS log_id, CAST(user_id AS VARCHAR) AS mid,
     CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) END AS uid,
@@ -547,3 +549,24 @@ ORACLES |= {
     "k6_k7_stored_window_table": ORACLES["r13_amount_by_province_of_day"],
     "k8_dead_letters": ORACLES["p1_dirty_records"],
 }
+
+# --- live routing ----------------------------------------------------------------------------------
+
+_START = [("r", *r, None) for r in LIVE_ROUTES]
+_LISTED = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in [*_START, *LIVE_CHANGES])
+_TABLES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TABLE_OF_EVENT.items())
+LIVE = f"""{EV}, span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM ev), cfg AS (
+  SELECT op, tab, type, sink, cols, coalesce(lo + (hi - lo) * part // 100, -1) AS since, CASE op WHEN 'd' THEN 2 WHEN 'u' THEN 1 ELSE 0 END AS stage
+  FROM (VALUES {_LISTED}) AS c(op, tab, type, sink, cols, part), span), spans AS (
+  SELECT *, lead(since) OVER (PARTITION BY tab, type ORDER BY since, stage) AS until FROM cfg), rows_ AS (
+  SELECT CASE event_type {_TABLES} END AS tab, CASE WHEN log_id % 5 = 0 THEN 'update' ELSE 'insert' END AS type,
+    CAST(log_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, CAST(k AS VARCHAR) AS number, ts FROM ev), routed AS (
+  SELECT s.sink AS sink_table, r.type AS _op, r.ts, {', '.join(f"CASE WHEN list_contains(string_split(cols, ','), '{c}') THEN coalesce(r.{c}, '-') ELSE '-' END AS {c}" for c in ('id', 'user_id', 'number'))}
+  FROM rows_ r JOIN spans s ON r.tab = s.tab AND r.type = s.type AND s.op <> 'd' AND epoch_us(r.ts) >= s.since AND (s.until IS NULL OR epoch_us(r.ts) < s.until))"""
+ROUTED = f"WITH {LIVE} SELECT sink_table, _op, id, user_id, number, strftime(ts, {MICROS}) AS ts FROM routed"
+
+ORACLES |= {
+    "j5_routing_by_time": ROUTED,
+    # a fact goes out when the clock has passed its hour
+    "stream_j5_live_routing": ROUTED + " WHERE (epoch_us(ts) + 3599999999) // 3600000000 * 3600000000 <= (SELECT (hi - 5000000) // 1000 * 1000 FROM span)",
+}
