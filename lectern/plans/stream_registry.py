@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions.measures import money
-from lectern.functions.timefn import micros
+from lectern.functions.timefn import date_text, micros
 from lectern.operators import split
 from lectern.plans import model as m
 from lectern.plans import windows as w
@@ -23,8 +23,10 @@ from lectern.plans.registry import live_columns, query
 from lectern.session import scratch_dir, stored
 from lectern.sinks.layers import read_window_table
 from lectern.sources.messages import table_stream
+from lectern.sources.schemas import DEVICE_FIELDS
 from lectern.streaming import jobs, windows
 from lectern.streaming import operators as s
+from lectern.streaming.changelog import folded, latest_outer_join, upsert_messages, upserted
 from lectern.streaming.live_routing import route_live
 from lectern.streaming.run import layer_stream, scratch_layer, to_layer, to_window_table
 
@@ -154,6 +156,42 @@ def _(spark, sf):
     return live_columns(scratch_layer(routed, "j5"))
 
 
+def order_source_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with the source of their session's last order page so far, as a changelog. Late."""
+    heads = stream(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("session_id"),
+        money("o_totalprice").alias("final_amount"), F.col("o_orderdate").alias("ts"))
+    pages = split.order_pages(event_stream(spark, sf, late=True)).select(F.col("sid").alias("session_id"), F.col("sc").alias("source_id"), "ts")
+    return scratch_layer(latest_outer_join(heads, pages, {"session_id": "session_id"}), "j2")
+
+
+@query("stream_j2_order_sources")
+def _(spark, sf):
+    """The changelog folded: what the left join of the whole tables gives."""
+    return folded(order_source_changes(spark, sf)).na.fill("-", ["source_id"])
+
+
+@query("stream_k3_upsert_messages")
+def _(spark, sf):
+    """Messages per kind, how many have a value, and how many orders they leave in force."""
+    changes = order_source_changes(spark, sf)
+    messages = upsert_messages(changes, ["id"])
+    kept = upserted(messages).agg(F.count("*").alias("order_count"))
+    per = changes.select("kind", F.when(F.col("kind").startswith("+"), 1).alias("value")).groupBy("kind").agg(
+        F.count("*").alias("message_count"), F.count("value").alias("value_count"))
+    return per.unionByName(kept.select(F.lit("in force").alias("kind"), F.col("order_count").alias("message_count"), F.col("order_count").alias("value_count")))
+
+
+@query("stream_j4_registrations")
+def _(spark, sf):
+    """Late. New users at once, taken back and sent again as later log rows name another device."""
+    events = m.event_rows(stream(spark, sf, "events", "event_id"), "event_type")
+    new = events.filter(F.col("event_type") == "signup").select(F.col("mid").alias("user_id"), date_text("ts").alias("register_date"), "ts")
+    columns = [F.col(c).alias(n) for n, c in DEVICE_FIELDS.items()]
+    seen = event_stream(spark, sf, late=True).filter(F.col("uid").isNotNull()).select(*columns, "ts")
+    return folded(scratch_layer(latest_outer_join(new, seen, {"user_id": "user_id"}), "j4")).na.fill("-")
+
+
 def login_layer(spark: SparkSession, sf: str) -> DataFrame:
     """First logins, written by a query of their own, as the next query's stream."""
     root = scratch_dir(spark, "logins")

@@ -570,3 +570,21 @@ ORACLES |= {
     # a fact goes out when the clock has passed its hour
     "stream_j5_live_routing": ROUTED + " WHERE (epoch_us(ts) + 3599999999) // 3600000000 * 3600000000 <= (SELECT (hi - 5000000) // 1000 * 1000 FROM span)",
 }
+
+# --- changelogs --------------------------------------------------------------------------------------
+
+ORACLES |= {
+    "stream_j2_order_sources": f"""WITH {EV}, {ORD}, src AS (SELECT sid AS session_id, arg_max(sc, ts) AS source_id FROM ev WHERE page_id = 'order' GROUP BY sid)
+        SELECT ord.id, user_id AS session_id, CAST(final_amount AS DOUBLE) AS final_amount, strftime(ts, {MICROS}) AS ts, coalesce(source_id, '-') AS source_id
+        FROM ord LEFT JOIN src ON user_id = session_id""",
+    # a session's orders of earlier micro-batches change when a later one brings a later page
+    "stream_k3_upsert_messages": f"""WITH {EV}, {arrivals('ev')}, pages AS (SELECT sid, part, max(ts) AS ts FROM parts WHERE page_id = 'order' GROUP BY 1, 2), turns AS (
+        SELECT sid, part FROM (SELECT *, max(ts) OVER (PARTITION BY sid ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pages) WHERE before IS NULL OR ts > before), ospan AS (
+        SELECT min(epoch_us(o_orderdate)) AS olo, max(epoch_us(o_orderdate)) AS ohi FROM orders), heads AS (
+        SELECT CAST(o_custkey AS VARCHAR) AS sid, CAST(least(2, floor(CAST((epoch_us(o_orderdate) - olo) * 3 AS DOUBLE) / CAST(ohi - olo + 1 AS DOUBLE))) AS BIGINT) AS part FROM orders, ospan), changed AS (
+        SELECT count(*) AS n FROM heads h JOIN turns t ON h.sid = t.sid AND t.part > h.part)
+        SELECT '+I' AS kind, count(*) AS message_count, count(*) AS value_count FROM orders
+        UNION ALL SELECT '-U', n, 0 FROM changed WHERE n > 0 UNION ALL SELECT '+U', n, n FROM changed WHERE n > 0
+        UNION ALL SELECT 'in force', count(*), count(*) FROM orders""",
+    "stream_j4_registrations": ORACLES["j4_registrations"],
+}
