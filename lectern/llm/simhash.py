@@ -26,11 +26,11 @@ BUCKET_ROWS = 1 << 20
 #: Fingerprints under a leaf of the index, and nodes under a node.
 FAN = 16
 #: Text that is split into words at a time, and pairs of nodes that are compared at a time.
-BLOCK_BYTES, BLOCK_PAIRS = 1 << 20, 1 << 12
+BLOCK_BYTES, BLOCK_PAIRS = 1 << 20, 1 << 9
 #: Rows of whole buckets that are indexed together.
 BLOCK_ROWS = 1 << 17
 #: Least hashes in a band, spanning forests of candidates that leave a bucket, and candidates that a task holds.
-BAND, FORESTS, COMPARED = 4, 3, 1 << 20
+BAND, FORESTS, COMPARED = 4, 3, 1 << 17
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -356,30 +356,40 @@ class Candidates:
     """Links between rows, cut down again and again to ``FORESTS`` spanning forests that share no link."""
 
     def __init__(self, forest: Forest, allowed):
-        self.forest, self.allowed, self.n, self.rows = forest, allowed, 0, [np.zeros((0, 3), np.int64)]
+        self.forest, self.allowed, self.n = forest, allowed, 0
+        self.keys, self.differ = [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
 
     def add(self, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> None:
-        good = (self.forest.up[i] != self.forest.up[j]) & self.allowed(i, j)
-        self.rows.append(np.stack([np.minimum(i, j)[good], np.maximum(i, j)[good], differ[good].astype(np.int64)], axis=1))
-        self.n += int(good.sum())
+        apart = self.forest.up[i] != self.forest.up[j]
+        i, j, differ = i[apart], j[apart], differ[apart]
+        good = self.allowed(i, j)
+        i, j = i[good], j[good]
+        self.keys.append(np.minimum(i, j) * len(self.forest.up) + np.maximum(i, j))
+        self.differ.append(differ[good])
+        self.n += len(i)
         if self.n > max(COMPARED, 2 * FORESTS * len(self.forest.up)):
-            self.rows = [self.forests()]
-            self.n = len(self.rows[0])
+            self.cut_down()
 
-    def forests(self) -> np.ndarray:
-        rest, out = np.unique(np.concatenate(self.rows), axis=0), []
+    def cut_down(self) -> tuple[np.ndarray, np.ndarray]:
+        """The links that are left, as positions."""
+        keys, first = np.unique(np.concatenate(self.keys), return_index=True)
+        differ = np.concatenate(self.differ)[first]
+        ends, rest, kept = np.divmod(keys, max(1, len(self.forest.up))), np.arange(len(keys)), []
         for _ in range(FORESTS):
-            some = strongest_forest(self.forest, rest[:, 0], rest[:, 1], rest[:, 2])
-            out.append(rest[some])
-            rest = np.delete(rest, some, axis=0)
-        return np.concatenate(out)
+            some = strongest_forest(self.forest, ends[0][rest], ends[1][rest], differ[rest])
+            kept.append(rest[some])
+            rest = np.delete(rest, some)
+        kept = np.concatenate(kept)
+        self.keys, self.differ, self.n = [keys[kept]], [differ[kept]], len(kept)
+        return ends[0][kept], ends[1][kept]
 
 
 def _candidates(width: int, radius: int, similarity: float, every: bool):
     """Links to be checked inside each bucket: pairs of nodes of different groups whose fingerprints are within the radius
     and whose counts of shingles allow the similarity, as few as connect the same trees three times over.
 
-    Neighbours in Gray order are looked at, and with ``every`` all pairs, by the index.
+    Neighbours in Gray order are looked at, and with ``every`` all pairs, by the index. What its pairs connect is one tree
+    for the rest of the search, so that a dense group costs little more than its size.
     """
     names = [f"f{i}" for i in range(width // 64)]
 
@@ -408,11 +418,21 @@ def _candidates(width: int, radius: int, similarity: float, every: bool):
             near = differ <= radius
             found.add(rows[near], rows[near] + by, differ[near])
         if every:
+            trial = Forest(0)
+            trial.up = forest.up.copy()
+
+            def nearer(i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> None:
+                fits = found.allowed(i, j)
+                i, j, differ = i[fits], j[fits], differ[fits]
+                some = strongest_forest(trial, i, j, differ)
+                found.add(i[some], j[some], differ[some])
+                trial.unite(i[some], j[some])
+
             for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
                 if size >= 2 * FAN:
-                    GrayIndex(f[start : start + size]).link(forest, start, radius, found.add)
-        links = found.forests()
-        a, b = node[links[:, 0]], node[links[:, 1]]
+                    GrayIndex(f[start : start + size]).link(trial, start, radius, nearer)
+        i, j = found.cut_down()
+        a, b = node[i], node[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return _by_buckets(pairs)
@@ -425,7 +445,7 @@ def near_copy_groups(
     text: str = "text",
     words: int = 5,
     width: int = 128,
-    radius: int = 32,
+    radius: int = 28,
     recall: float = 0.99,
     piece_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
@@ -438,8 +458,9 @@ def near_copy_groups(
     differ in 19 of 128 on average, with a deviation of 4). They only are candidates: each is checked on the sets.
 
     A bucket gives no list of its pairs. Neighbours in Gray order are checked and united first. Then all pairs of
-    different groups are looked at inside the task, and what leaves it are three spanning forests, the nearest pairs
-    first, that share no pair; so a true link is missed only if three ways around it failed the check. A bucket over
+    different groups are looked at inside the task; what leaves it are three spanning forests that share no pair, made of
+    a forest of all pairs and of the neighbours, nearest first. A true link is missed if the ways around it that were
+    kept in its place all fail the check (the tests measure how often). A bucket over
     ``piece_rows`` is cut into pieces that meet two by two. Wordless and null texts link with each other only. Null ids
     never become a component_id, unless all of a component are null. Rows that share an id share their result. An empty
     table gives an empty table; extra columns play no part.
