@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, DoubleType, TimestampNTZType, TimestampType
 
 from lectern.functions.measures import as_count, keyword_weight, score_band
+from lectern.functions.segment import segmenter, word_costs
 from lectern.functions.text import short_digest, words
 from lectern.functions.timefn import (
     date_number, date_text, date_text_to_millis, datetime_text, from_millis, hour_label, is_newer_version,
@@ -375,6 +376,21 @@ def _(spark, sf):
     return both.na.fill("-")
 
 
+def _dictionary(counts):
+    """The words of two to four letters that occur often, as a dictionary; longer words are made of these."""
+    costs, unknown = word_costs(counts)
+    short = counts.filter(F.length("word").between(2, 4) & (F.col("n") >= 8)).select("word")
+    return costs.join(short, "word", "left_semi"), unknown
+
+
+@query("f1_segmented_keywords")
+def _(spark, sf):
+    """Words of the whole texts cut by a dictionary, counted; each distinct run is cut once."""
+    runs = stored(w.keyword_rows(m.search_log(spark, sf)).groupBy(F.col("keyword").alias("word")).agg(F.count(F.lit(1)).alias("n")), "runs")
+    cut = segmenter(*_dictionary(runs))
+    return runs.select(F.explode(cut("word")).alias("keyword"), "n").groupBy("keyword").agg(F.sum("n").alias("keyword_count"))
+
+
 @query("j8_f1_keyword_rows")
 def _(spark, sf):
     """Words of the whole texts, counted per word."""

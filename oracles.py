@@ -588,3 +588,23 @@ ORACLES |= {
         UNION ALL SELECT 'in force', count(*), count(*) FROM orders""",
     "stream_j4_registrations": ORACLES["j4_registrations"],
 }
+
+# --- segmentation ------------------------------------------------------------------------------------
+
+def _edge(n: int) -> str:
+    return f"{{'c': CASE WHEN i + 1 >= {n} THEN cs[{n}] + d{n}.cost END, 'p': ps[{n}] || '|' || d{n}.dw || '|'}}"
+
+
+ORACLES |= {
+    # the best path to each place of every word, from the best paths to the four places before
+    "f1_segmented_keywords": r"""WITH RECURSIVE w AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents) GROUP BY 1),
+        t AS MATERIALIZED (SELECT length(bin(CAST(sum(n) AS BIGINT))) AS bits FROM w),
+        dict AS MATERIALIZED (SELECT word AS dw, bits - length(bin(n)) + 1 AS cost FROM w, t WHERE length(word) BETWEEN 2 AND 4 AND n >= 8),
+        steps AS (SELECT word, n, bits, 0 AS i, [CAST(0 AS BIGINT)] AS cs, [''] AS ps FROM w, t
+        UNION ALL SELECT word, n, bits, i + 1, list_concat([b.c], cs)[1:4], list_concat([b.p], ps)[1:4] FROM (
+          SELECT s.*, list_sort(list_filter([{'c': cs[1] + bits + 1, 'p': ps[1] || substr(word, i + 1, 1)}, EDGE2, EDGE3, EDGE4], lambda x: x.c IS NOT NULL))[1] AS b
+          FROM steps s LEFT JOIN dict d2 ON d2.dw = substr(word, i, 2) AND i >= 1 LEFT JOIN dict d3 ON d3.dw = substr(word, i - 1, 3) AND i >= 2 LEFT JOIN dict d4 ON d4.dw = substr(word, i - 2, 4) AND i >= 3
+          WHERE i < length(word)))
+        SELECT keyword, CAST(sum(n) AS BIGINT) AS keyword_count FROM (SELECT unnest(string_split(ps[1], '|')) AS keyword, n FROM steps WHERE i = length(word)) WHERE keyword <> '' GROUP BY 1"""
+    .replace("EDGE2", _edge(2)).replace("EDGE3", _edge(3)).replace("EDGE4", _edge(4)),
+}
