@@ -129,12 +129,12 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def details(spark: SparkSession, sf: str) -> DataFrame:
+def details(spark: SparkSession, sf: str, read=table) -> DataFrame:
     """Order details as versions: the same order line comes more than once."""
     price = F.col("l_extendedprice").cast("decimal(16,2)")
     off = F.col("l_discount").cast("decimal(4,2)")
     final = money(price * (F.lit(1).cast("decimal(1,0)") - off))
-    return table(spark, sf, "lineitem").select(
+    return read(spark, sf, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), _text(F.col("l_suppkey")).alias("course_id"),
         F.concat(F.lit("course "), "l_suppkey").alias("course_name"), _text(F.col("l_orderkey")).alias("order_id"),
         price.alias("origin_amount"), (price - final).cast("decimal(16,2)").alias("coupon_reduce"),
@@ -147,9 +147,9 @@ def order_facts(spark: SparkSession, sf: str) -> DataFrame:
     return order_details(details(spark, sf), orders(spark, sf), event_rows(table(spark, sf, "events")))
 
 
-def payments(spark: SparkSession, sf: str) -> DataFrame:
+def payments(spark: SparkSession, sf: str, read=table) -> DataFrame:
     """Payments: orders of status F are paid, some of them late."""
-    o = table(spark, sf, "orders")
+    o = read(spark, sf, "orders")
     paid_at = F.timestamp_add("SECOND", F.col("o_orderkey") % 1200, F.col("o_orderdate"))
     return o.select(
         F.concat(F.lit("pay-"), "o_orderkey").alias("id"), _text(F.col("o_orderkey")).alias("order_id"),

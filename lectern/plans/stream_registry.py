@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions.measures import money
-from lectern.functions.timefn import date_text, micros
+from lectern.functions.timefn import date_text, from_micros, micros
 from lectern.operators import split
 from lectern.plans import model as m
 from lectern.plans import windows as w
@@ -23,7 +23,7 @@ from lectern.plans.registry import live_columns, query
 from lectern.session import scratch_dir, stored
 from lectern.sinks.layers import read_window_table
 from lectern.sources.messages import table_stream
-from lectern.sources.schemas import DEVICE_FIELDS
+from lectern.sources.schemas import DEVICE_FIELDS, PAID
 from lectern.streaming import jobs, windows
 from lectern.streaming import operators as s
 from lectern.streaming.changelog import folded, latest_outer_join, upsert_messages, upserted
@@ -67,11 +67,15 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return table_stream(spark, path, like.schema, files_per_batch=FILES)
 
 
+def files_of(table: DataFrame) -> tuple:
+    """What tells a table's files from those of another time: when the last was written, and their rows."""
+    return tuple(table.select("_metadata.file_modification_time").agg(F.max("file_modification_time"), F.count("*")).first())
+
+
 def stream(spark: SparkSession, sf: str, name: str, late_id: str | None = None) -> DataFrame:
     """A table in slices, written once per session and state of the table's files."""
     table = m.table(spark, sf, name)
-    files = table.select("_metadata.file_modification_time").agg(F.max("file_modification_time"), F.count("*")).first()
-    key = (spark.sparkContext.applicationId, sf, name, late_id, *files)
+    key = (spark.sparkContext.applicationId, sf, name, late_id, *files_of(table))
     if key not in _written:
         at = F.col(TIMES[name])
         _written[key] = in_files(table, at if name == "documents" else micros(at), late_id)
@@ -182,14 +186,19 @@ def _(spark, sf):
     return per.unionByName(kept.select(F.lit("in force").alias("kind"), F.col("order_count").alias("message_count"), F.col("order_count").alias("value_count")))
 
 
-@query("stream_j4_registrations")
-def _(spark, sf):
-    """Late. New users at once, taken back and sent again as later log rows name another device."""
+def registered_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """New users at once, taken back and sent again as later log rows name another device; folded. Late."""
     events = m.event_rows(stream(spark, sf, "events", "event_id"), "event_type")
     new = events.filter(F.col("event_type") == "signup").select(F.col("mid").alias("user_id"), date_text("ts").alias("register_date"), "ts")
     columns = [F.col(c).alias(n) for n, c in DEVICE_FIELDS.items()]
     seen = event_stream(spark, sf, late=True).filter(F.col("uid").isNotNull()).select(*columns, "ts")
-    return folded(scratch_layer(latest_outer_join(new, seen, {"user_id": "user_id"}), "j4")).na.fill("-")
+    return folded(scratch_layer(latest_outer_join(new, seen, {"user_id": "user_id"}), "j4"))
+
+
+@query("stream_j4_registrations")
+def _(spark, sf):
+    """Late."""
+    return registered_changes(spark, sf).na.fill("-")
 
 
 def login_layer(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,6 +242,74 @@ def session_layer(spark: SparkSession, sf: str) -> DataFrame:
     return layer_stream(spark, root + "/data", found)
 
 
+# The order path: heads with their source (a changelog), details with their head (another), the versions of a detail
+# compacted by event time, then the windows. Each arrow is a layer.
+HOLD_DAYS, REGISTER_HOLD_DAYS = 30, 1
+_layers: dict[tuple, str] = {}
+
+
+def shared_layer(spark: SparkSession, sf: str, name: str, tables: list[str], build) -> tuple[str, DataFrame]:
+    """A layer that several registered queries read, written once per session and state of the tables' files."""
+    key = (spark.sparkContext.applicationId, sf, name, *[x for t in tables for x in files_of(m.table(spark, sf, t))])
+    if key not in _layers:
+        root = scratch_dir(spark, name)
+        rows = build()
+        if rows.isStreaming:
+            to_layer(rows, root + "/data", root + "/checkpoint")
+        else:
+            rows.write.parquet(root + "/data")
+        _layers[key] = root + "/data"
+    return _layers[key], spark.read.parquet(_layers[key])
+
+
+ORDER_TABLES = ["orders", "lineitem", "events", "customer"]
+
+
+def streamed_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """All versions of the order details with their order and its source, as two streaming joins leave them."""
+    def build() -> DataFrame:
+        path, heads = shared_layer(spark, sf, "heads", ORDER_TABLES, lambda: order_source_changes(spark, sf))
+        sent = layer_stream(spark, path, heads).filter(F.col("kind").startswith("+")).select(
+            F.col("id").alias("order_id"), F.col("session_id").alias("user_id"), "source_id", "ts",
+            from_micros("seq").alias("turn"))
+        lines = m.details(spark, sf, stream).select("id", "course_id", "order_id", "final_amount", "row_op_ts")
+        changes = scratch_layer(latest_outer_join(lines, sent, {"order_id": "order_id"}, "turn", salts=1), "facts")  # an order has few lines
+        return folded(changes).filter(F.col("ts").isNotNull())
+
+    return shared_layer(spark, sf, "facts", ORDER_TABLES, build)[1]
+
+
+def compacted(spark: SparkSession, sf: str, name: str, versions, key: str, version: str, late_id: Column, days: int) -> DataFrame:
+    """The latest versions as the stream of a layer. The versions arrive in slices, some of them late."""
+    def build() -> DataFrame:
+        rows = stored(versions().withColumn("log_id", late_id.cast("bigint")), "versions")
+        path = in_files(rows, micros(version), "log_id")
+        return s.latest_by_clock(file_stream(spark, path, rows).drop("log_id"), key, version, days * 86400)
+
+    path, rows = shared_layer(spark, sf, name, ORDER_TABLES, build)
+    return layer_stream(spark, path, rows)
+
+
+def compacted_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return compacted(spark, sf, "orders", lambda: streamed_facts(spark, sf), "id", "row_op_ts", F.col("order_id"), HOLD_DAYS)
+
+
+def compacted_payments(spark: SparkSession, sf: str) -> DataFrame:
+    def paid() -> DataFrame:
+        facts = streamed_facts(spark, sf)
+        lines = file_stream(spark, in_files(facts, micros("ts")), facts)
+        good = m.payments(spark, sf, stream).filter(F.col("payment_status") == PAID)
+        found = s.paid_details(lines, good)
+        return scratch_layer(found.select("id", "course_id", "order_id", "final_amount", "row_op_ts", "user_id", "ts"), "paid")
+
+    return compacted(spark, sf, "payments", paid, "id", "row_op_ts", F.col("order_id"), HOLD_DAYS)
+
+
+def compacted_registrations(spark: SparkSession, sf: str) -> DataFrame:
+    return compacted(spark, sf, "registrations", lambda: registered_changes(spark, sf).select("user_id", "ts", F.col("ts").alias("row_op_ts")),
+                     "user_id", "row_op_ts", F.col("user_id"), REGISTER_HOLD_DAYS)
+
+
 def _sums(name: str, build) -> None:
     """Register the closed sums of a window table."""
     @query(name)
@@ -249,6 +326,11 @@ def order_stream(spark: SparkSession, sf: str) -> DataFrame:
                          money("o_totalprice").alias("final_amount"), F.col("o_orderdate").alias("ts"))
 
 
+_sums("stream_a5_user_register_window", lambda spark, sf: windows.user_registrations(compacted_registrations(spark, sf), m.HOUR))
+_sums("stream_a8_order_buyer_window", lambda spark, sf: windows.order_buyers(compacted_orders(spark, sf)))
+_sums("stream_a9_payer_window", lambda spark, sf: windows.payers(compacted_payments(spark, sf)))
+_sums("stream_a11_source_order_window", lambda spark, sf: windows.source_orders(compacted_orders(spark, sf)))
+_sums("stream_a12_course_order_window", lambda spark, sf: windows.course_orders(compacted_orders(spark, sf)))
 _sums("stream_a2_keyword_window", lambda spark, sf: windows.keywords(m.search_log(spark, sf, stream), m.HOUR))
 _sums("stream_a3_page_view_window", lambda spark, sf: windows.page_views(event_stream(spark, sf), m.HOUR))
 _sums("stream_a4_user_login_window", lambda spark, sf: windows.user_logins(login_layer(spark, sf), m.HOUR))

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from lectern.functions.timefn import JSON_TIMES, as_instant, from_micros, micros
 from lectern.operators.windows import WINDOW
 from lectern.streaming.processors import (
-    BounceDetector, DailyFirst, FirstLogin, FlagRepair, LatestVersion, first_rows, latest_per_key, marked,
+    BounceDetector, DailyFirst, FirstLogin, FlagRepair, LatestByClock, LatestVersion, first_rows, greatest_and_first,
+    latest_per_key, marked,
 )
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -152,6 +153,28 @@ def latest_version(df: DataFrame, key: str, version: str, hold_ms: int = 5_000,
     return _unpacked(found, df.schema, version)
 
 
+def latest_by_clock(
+    df: DataFrame, key: str, version: str, hold_seconds: int, late: str = LATE, keep_seconds: int | None = None,
+) -> DataFrame:
+    """Upsert compaction on event time, so that it repeats: each key's greatest ``version`` (a wall-clock time), once, when
+    the clock is ``hold_seconds`` past the earliest version that came with its first micro-batch.
+
+    The clock is ``late`` behind the latest version of any key (see ``_marked``); no row is too late to count, but once a
+    key is out later versions of it are not. Of equal versions the greatest row stays. Rows without key go away. Each
+    task sends the greatest version per key of every chunk. The result comes from timers, so it ends a query.
+    """
+    packed = _packed(df.filter(F.col(key).isNotNull()), [key], version)
+
+    def reduce_chunks(chunks):
+        for chunk in chunks:
+            yield greatest_and_first(chunk, ["_k0"])
+
+    firsts = packed.mapInPandas(reduce_chunks, StructType([*packed.schema.fields, StructField("first", LongType())]))
+    found = _marked(firsts, ["_k0"], late).groupBy("_k0").transformWithStateInPandas(
+        LatestByClock(hold_seconds, keep_seconds), LatestByClock.output, "Append", "EventTime")
+    return _unpacked(found, df.schema, version)
+
+
 def with_event_time(df: DataFrame, ts: str = "ts", late: str = LATE) -> DataFrame:
     """Add the watermarked event time; needed before a window or a bounded join."""
     return df.withColumn("event_ts", as_instant(ts)).withWatermark("event_ts", late)

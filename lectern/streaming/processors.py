@@ -262,5 +262,59 @@ class LatestVersion(StatefulProcessor):
         pass
 
 
+class LatestByClock(StatefulProcessor):
+    """Upsert compaction by event time: the greatest version of a key, emitted once when the clock has passed the first
+    micro-batch's earliest version by a while. What comes later counts for nothing, as the row is out already.
+
+    Without ``keep_seconds`` a key is remembered for good; with it, that long after it was emitted.
+    """
+
+    output = "at bigint, row string"
+
+    def __init__(self, hold_seconds: int, keep_seconds: int | None = None) -> None:
+        self.hold, self.keep = hold_seconds * 1_000_000, keep_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "at bigint, row string, sent boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.best.get()
+        if key[0] is None or (held is not None and held[2]):  # marks only move the clock
+            return iter([])
+        best, first = (held[0], held[1]) if held else None, None
+        for chunk in rows:
+            for at, row, earliest in chunk[["at", "row", "first"]].itertuples(index=False):
+                best = (int(at), row) if best is None else max(best, (int(at), row))
+                first = int(earliest) if first is None else min(first, int(earliest))
+        if best is not None:
+            self.best.update((*best, False))
+            if held is None:
+                self.handle.registerTimer(-(-(first + self.hold) // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.best.get()
+        if held is None:
+            return
+        if held[2]:
+            self.best.clear()
+            return
+        self.best.update((held[0], "", True))
+        if self.keep is not None:
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep * 1000)
+        yield pd.DataFrame({"at": [held[0]], "row": [held[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def greatest_and_first(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The greatest version of each key within one chunk, and the time of its earliest."""
+    first = frame.groupby(keys, dropna=False)["at"].transform("min") if len(frame) else frame["at"]
+    ordered = frame.assign(first=first).sort_values(["at", "row"], ignore_index=True)
+    return ordered.drop_duplicates(keys, keep="last", ignore_index=True)
+
+
 # Executors get these classes with the job, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

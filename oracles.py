@@ -608,3 +608,33 @@ ORACLES |= {
         SELECT keyword, CAST(sum(n) AS BIGINT) AS keyword_count FROM (SELECT unnest(string_split(ps[1], '|')) AS keyword, n FROM steps WHERE i = length(word)) WHERE keyword <> '' GROUP BY 1"""
     .replace("EDGE2", _edge(2)).replace("EDGE3", _edge(3)).replace("EDGE4", _edge(4)),
 }
+
+# --- the order path as streams -----------------------------------------------------------------------
+
+
+def compacted(rows: str, key: str, hold: str, best: str, name: str = "kept") -> str:
+    """``rows`` (with ts the version and log_id) in micro-batches: of each key the greatest version that has arrived when
+    the watermark is ``hold`` past the earliest one of its first micro-batch."""
+    return f"""{arrivals(rows)}, {marks('parts', '5 SECOND')}, zero AS (
+  SELECT p.{key}, p0, min(ts) AS ts0 FROM parts p JOIN (SELECT {key}, min(part) AS p0 FROM parts GROUP BY 1) f ON p.{key} = f.{key} AND part = p0 GROUP BY 1, 2), sent AS (
+  SELECT *, (SELECT min(b) FROM wm WHERE b >= p0 AND mark >= ts0 + INTERVAL {hold}) AS sent FROM zero), {name} AS (
+  SELECT * RENAME (ts AS row_op_ts, event AS ts), CAST(event AS DATE) AS d FROM (
+    SELECT p.*, row_number() OVER (PARTITION BY p.{key} ORDER BY {best}) AS rn FROM parts p JOIN sent s ON p.{key} = s.{key} AND p.part <= s.sent) WHERE rn = 1)"""
+
+
+_VERSIONS = "SELECT id, course_id, order_id, final_amount, user_id, {source} ts AS event, row_op_ts AS ts, CAST(order_id AS BIGINT) AS log_id FROM {rows}"
+_BEST = "ts DESC, course_id DESC, final_amount DESC"
+STREAM_FACTS = FACTS[:FACTS.index(", kept AS (")] + ", versions AS (" + _VERSIONS.format(source="source_id,", rows="facts") + "), " + compacted("versions", "id", "30 DAY", _BEST)
+STREAM_PAID = PAID + ", versions AS (" + _VERSIONS.format(source="", rows="paid") + "), " + compacted("versions", "id", "30 DAY", _BEST, "pkept")
+STREAM_COURSES = STREAM_FACTS + """, cw AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) AS w, course_id, sum(final_amount) AS amt FROM kept GROUP BY 1, 2)"""
+STREAM_REGISTERS = f"""{EV}, versions AS (SELECT mid AS user_id, ts AS event, ts, user_id AS log_id FROM ev WHERE event_type = 'signup'), {compacted('versions', 'user_id', '1 DAY', 'ts DESC')}, a5 AS (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, CAST(count(*) AS BIGINT) AS register_count FROM kept GROUP BY 1)"""
+
+ORACLES |= {
+    "stream_a5_user_register_window": f"WITH {STREAM_REGISTERS} SELECT {bounds('w', HOUR)}, register_count FROM a5 WHERE " + closed("w", HOUR, "kept", "5 SECOND"),
+    "stream_a8_order_buyer_window": f"WITH {STREAM_FACTS}, {buyers('kept', 'order_uv_count', 'new_order_user_count')} SELECT {bounds('w', TEN)}, * EXCLUDE (w) FROM out WHERE " + closed("w", TEN, "kept", "5 SECOND"),
+    "stream_a9_payer_window": f"WITH {STREAM_PAID}, {buyers('pkept', 'pay_suc_uv_count', 'pay_suc_new_user_count')} SELECT {bounds('w', TEN)}, * EXCLUDE (w) FROM out WHERE " + closed("w", TEN, "pkept", "5 SECOND"),
+    "stream_a11_source_order_window": f"WITH {SOURCES.replace(FACTS, STREAM_FACTS)} SELECT {bounds('w', TEN)}, source_id, order_total_amount, order_uu_count, order_count FROM a11 WHERE "
+        + closed("w", TEN, "kept WHERE source_id IS NOT NULL", "5 SECOND"),
+    "stream_a12_course_order_window": f"WITH {STREAM_COURSES} SELECT {bounds('w', TEN)}, course_id, CAST(amt AS DOUBLE) AS order_total_amount FROM cw WHERE " + closed("w", TEN, "kept", "5 SECOND"),
+}
