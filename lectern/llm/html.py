@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -16,6 +17,8 @@ from lectern.llm.common import query, stored, table
 
 #: Tokens in a row that must recur on another page of the host; pages of a host whose streams one suffix array holds.
 RUN, SHARD_PAGES = 8, 512
+#: Places of the bitmap of the runs that can decide a block; a run that shares a place with one is sent for nothing.
+PLACES = 1 << 20
 
 # Element names of HTML, and words that name parts of pages in class, id and role.
 RAW = {"script", "style", "textarea", "iframe", "noembed", "noframes", "xmp"}
@@ -179,6 +182,13 @@ def group_runs(pages: list[str | None], run: int = RUN) -> tuple[np.ndarray, np.
     return distinct, touching
 
 
+def open_places(pages: list[str | None], run: int = RUN) -> np.ndarray:
+    """Places in a bitmap of ``PLACES`` of the hashes of all runs that touch a block which repetition decides."""
+    some = [p for p in pages if any(b.place == "open" for b in page_blocks(p))]
+    found, touching = group_runs(some, run)
+    return np.unique(found[touching] % PLACES)
+
+
 def main_texts(pages: list[str | None], run: int = RUN, shared: np.ndarray | None = None) -> list[str]:
     """Main texts of pages of one host; ``shared``: hashes of runs that further pages of the host have too.
 
@@ -213,9 +223,11 @@ def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """Page by page: ``key``, ``url``, text (empty if none), n_chars (its code points).
 
     Pages are grouped by the host in their URL. A host of more than ``shard_pages`` pages is dealt by hash into groups of
-    about as many, each with a suffix array of its own, so no task holds a host whole. Such groups also give the hashes
-    of their runs; those that several groups of a host have are sent back to the groups in which they can decide a
-    block, so the result is that of one suffix array per host. A null html is empty. Pages without a host in their URL,
+    about as many, each with a suffix array of its own, so no task holds a host whole. Runs that touch a block which
+    repetition decides are then looked for in the host's other groups: a bitmap of these runs' hashes, of fixed size, goes
+    to every group, which gives the hashes of its runs that it may hold. Those that several groups of a host have are
+    sent back to the groups in which they can decide a block, so the result is that of one suffix array per host; where
+    no block is open nothing is sent. A null html is empty. Pages without a host in their URL,
     and null URLs, are one host. Rows that share an id are pages each. An empty table gives an empty table. Extra columns
     play no part.
     """
@@ -236,12 +248,25 @@ def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
     def runs(group: pd.DataFrame) -> pd.DataFrame:
         found, touching = group_runs(html_of(group), run)
+        maybe = touching | bitmap[found % PLACES]
+        found, touching = found[maybe], touching[maybe]
         return pd.DataFrame({"host": group["host"].iloc[0], "shard": group["shard"].iloc[0], "run": found, "touching": touching})
 
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"place": open_places(html_of(frame), run)})
+
     if large.isEmpty():
         out = rows.groupBy("host").applyInPandas(lambda group: texts(group), told)
     else:
         parts = rows.join(large, "host").withColumn("shard", F.pmod(F.xxhash64("key", "url"), F.col("shards"))).drop("shards")
+        held = rows.join(large, "host", "left_semi").select("html").mapInPandas(places, "place bigint").distinct().collect()  # PLACES at most
+        bitmap = np.zeros(PLACES, bool)
+        bitmap[[r["place"] for r in held]] = True
+        whole = rows.join(large, "host", "left_anti").groupBy("host").applyInPandas(lambda group: texts(group), told)
+        if not held:
+            alone = parts.groupBy("host", "shard").applyInPandas(lambda group: texts(group), told)
+            return whole.unionByName(alone).withColumnRenamed("key", key).withColumnRenamed("url", url)
         shared = (
             parts.groupBy("host", "shard").applyInPandas(runs, "host string, shard bigint, run bigint, touching boolean")
             .groupBy("host", "run")
@@ -249,7 +274,6 @@ def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html:
             .where("low <> high")
             .select("host", F.explode("shards").alias("shard"), "run")
         )
-        whole = rows.join(large, "host", "left_anti").groupBy("host").applyInPandas(lambda group: texts(group), told)
         dealt = parts.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard"))
         out = whole.unionByName(dealt.applyInPandas(lambda group, found: texts(group, found["run"].to_numpy(np.int64)), told))
     return out.withColumnRenamed("key", key).withColumnRenamed("url", url)
