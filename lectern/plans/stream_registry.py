@@ -29,6 +29,7 @@ from lectern.streaming import operators as s
 from lectern.streaming.changelog import folded, latest_outer_join, upsert_messages, upserted
 from lectern.streaming.live_routing import route_live
 from lectern.streaming.run import layer_stream, scratch_layer, to_layer, to_window_table
+from lectern.streaming.state import kept_and_dropped, state_rows
 
 
 #: Slices of time, rows that come a slice late, and files of a slice, which are one micro-batch.
@@ -201,6 +202,17 @@ def _(spark, sf):
     return registered_changes(spark, sf).na.fill("-")
 
 
+@query("stream_t15_kept_days")
+def _(spark, sf):
+    """Late. Each buyer's last day, and whether the state still holds it when the stream has ended."""
+    root = scratch_dir(spark, "t15")
+    bought = event_stream(spark, sf, late=True).filter(F.col("page_id") == "order")
+    first = to_layer(s.daily_first(bought, ["mid"], late=None).select("mid", "ts"), root + "/data", root + "/checkpoint")
+    seen = first.groupBy("mid").agg(date_text(F.max("ts")).alias("last_day"))
+    held = state_rows(spark, root + "/checkpoint", "last_day", ["mid"])
+    return kept_and_dropped(seen, held.select("mid", F.date_from_unix_date(F.col("day").cast("int")).cast("string").alias("last_day")), ["mid", "last_day"])
+
+
 def login_layer(spark: SparkSession, sf: str) -> DataFrame:
     """First logins, written by a query of their own, as the next query's stream."""
     root = scratch_dir(spark, "logins")

@@ -505,6 +505,8 @@ ORACLES |= {
         f"SELECT '{layer}' AS layer, CAST({times} * count(*) AS BIGINT) AS line_count, CAST({times if layer != 'error' else 0} * count(*) FILTER (is_new = '1') AS BIGINT) AS new_count FROM flagged WHERE {which}"
         for layer, which, times in [*((n, w, 1) for n, w in LAYERS.items()), ("display", "event_type = 'click'", 2), ("action", "event_type = 'click'", 1)]
     ) + " UNION ALL SELECT 'dirty', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT) FROM parts WHERE k % 10 = 0",
+    "stream_t15_kept_days": f"""WITH {EV}, b AS (SELECT mid, d, ts FROM ev WHERE event_type = 'purchase')
+        SELECT mid, strftime(max(d), '%Y-%m-%d') AS last_day, epoch_ms(max(d) + INTERVAL 2 DAY) > (SELECT epoch_ms(max(ts)) - 5000 FROM b) AS kept FROM b GROUP BY mid""",
     "stream_t7_login_returns": f"WITH {login_days(DUE_LOGIN)} SELECT user_id, strftime(ts, {MICROS}) AS ts, CAST(1 AS BIGINT) AS uv_count, CAST(back AS BIGINT) AS back_count FROM lgaps",
     "stream_t9_buyer_days": f"""WITH {EV}, b AS (SELECT mid AS user_id, d, ts FROM ev WHERE event_type = 'purchase'), {buyers('b', 'uv', 'nw')}
         SELECT user_id, strftime(ts, {MICROS}) AS ts, CAST(1 AS BIGINT) AS uv_count, CAST(CASE WHEN rn = 1 THEN 1 ELSE 0 END AS BIGINT) AS new_count FROM ranked""",
