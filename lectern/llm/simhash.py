@@ -104,6 +104,15 @@ class GrayIndex:
         """Unite all pairs within the radius; the fingerprints stand at ``at`` and after in the forest.
 
         With ``found``, the forest stays as it is, and found(i, j, differing bits) gets the pairs of different trees.
+        """
+        for i, j, differ in self.pairs(forest, at, radius):
+            if found:
+                found(i, j, differ)
+            else:
+                forest.unite(i, j)
+
+    def pairs(self, forest: Forest, at: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs within the radius and their differing bits, part by part; the forest may grow in between.
 
         Two nodes are followed down while their shared bits differ in no more than the radius. A step adds only the
         differences on bits that came to be shared since the step above. Nodes whose members are one tree already are
@@ -125,10 +134,7 @@ class GrayIndex:
             i, j, shared, differ = i[near], j[near], shared[near], differ[near]
             if level == 0:
                 apart = i < j
-                if found:
-                    found(at + i[apart], at + j[apart], differ[apart])
-                else:
-                    forest.unite(at + i[apart], at + j[apart])
+                yield at + i[apart], at + j[apart], differ[apart]
                 continue
             one, tree = self._trees(forest, at, level)
             alike = one[i] & one[j] & (tree[i] == tree[j])
@@ -185,11 +191,11 @@ def turned(f: np.ndarray, last: np.ndarray) -> np.ndarray:
 def _linker(radius: int, words: int, bits: int, last: list[int]):
     names, last_of = [f"f{i}" for i in range(words)], np.array(last)
 
-    def edges(block: pd.DataFrame) -> pd.DataFrame:
+    def edges(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
         run = block.groupby(["bucket", "lo", "hi"], sort=True).ngroup().to_numpy()
         f = block[names].to_numpy(np.int64).view(np.uint64)
         a, b = linked(run, f, turned(f, last_of[block["bucket"].to_numpy() >> bits]), radius)
-        return pd.DataFrame({f"{end}{i}": f[rows, i].view(np.int64) for end, rows in (("a", a), ("b", b)) for i in range(words)})
+        yield pd.DataFrame({f"{end}{i}": f[rows, i].view(np.int64) for end, rows in (("a", a), ("b", b)) for i in range(words)})
 
     return _by_buckets(edges)
 
@@ -207,10 +213,10 @@ def _by_buckets(links):
                 last = block.iloc[-1]
                 going_on = ((block["bucket"] == last["bucket"]) & (block["lo"] == last["lo"]) & (block["hi"] == last["hi"])).to_numpy()
                 if not going_on.all():
-                    yield links(block[~going_on])
+                    yield from links(block[~going_on])
                 held, n = [block[going_on]], int(going_on.sum())
         if n:
-            yield links(pd.concat(held, ignore_index=True))
+            yield from links(pd.concat(held, ignore_index=True))
 
     return batches
 
@@ -384,20 +390,22 @@ class Candidates:
         return ends[0][kept], ends[1][kept]
 
 
-def _candidates(width: int, radius: int, similarity: float, every: bool):
+def _candidates(width: int, radius: int, similarity: float, every: bool, cut: bool = True):
     """Links to be checked inside each bucket: pairs of nodes of different groups whose fingerprints are within the radius
     and whose counts of shingles allow the similarity, as few as connect the same trees three times over.
 
     Neighbours in Gray order are looked at, and with ``every`` all pairs, by the index. What its pairs connect is one tree
     for the rest of the search, so that a dense group costs little more than its size.
+
+    Without ``cut`` nothing is left out: all such pairs of different groups come out, part by part as they are found.
     """
     names = [f"f{i}" for i in range(width // 64)]
 
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+    def pairs(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
         run = block.groupby(["bucket", "lo", "hi"], sort=False).ngroup().to_numpy()
         block = block[np.bincount(run)[run] > 1]
         if block.empty:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            return
         run = block.groupby(["bucket", "lo", "hi"], sort=False).ngroup().to_numpy()
         f = np.ascontiguousarray(block[names].to_numpy(np.int64)).view(np.uint64)
         order = np.lexsort((*(f[:, w] for w in range(f.shape[1])), gray_rank(f[:, 0]), run))
@@ -407,11 +415,34 @@ def _candidates(width: int, radius: int, similarity: float, every: bool):
         forest = Forest(len(block))
         _, first, inverse = np.unique(np.stack([run, group]), axis=1, return_index=True, return_inverse=True)
         forest.up = first[inverse.ravel()]
-        found = Candidates(forest, lambda i, j: (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (~across[i] | (piece[i] != piece[j])))
+
+        def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (~across[i] | (piece[i] != piece[j]))
+
+        def named(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+            a, b = node[i], node[j]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
         starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         sizes = np.diff(np.r_[starts, len(run)])
         ends = np.repeat(starts + sizes, sizes)
         rows = np.arange(len(run))
+        if not cut:
+            large = np.repeat(sizes >= 2 * FAN, sizes)  # the others' pairs are all neighbours
+            for by in range(1, 2 * FAN):
+                rows = rows[rows + by < ends[rows]]
+                r = rows[~large[rows]]
+                r = r[(forest.up[r] != forest.up[r + by]) & (_differ(f[r], f[r + by]) <= radius)]
+                r = r[allowed(r, r + by)]
+                yield named(r, r + by)
+            for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                if size >= 2 * FAN:
+                    for i, j, _ in GrayIndex(f[start : start + size]).pairs(forest, start, radius):
+                        fits = allowed(i, j) & (forest.up[i] != forest.up[j])
+                        if fits.any():
+                            yield named(i[fits], j[fits])
+            return
+        found = Candidates(forest, allowed)
         for by in range(1, 2 * FAN):
             rows = rows[rows + by < ends[rows]]
             differ = _differ(f[rows], f[rows + by])
@@ -422,7 +453,7 @@ def _candidates(width: int, radius: int, similarity: float, every: bool):
             trial.up = forest.up.copy()
 
             def nearer(i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> None:
-                fits = found.allowed(i, j)
+                fits = allowed(i, j)
                 i, j, differ = i[fits], j[fits], differ[fits]
                 some = strongest_forest(trial, i, j, differ)
                 found.add(i[some], j[some], differ[some])
@@ -431,9 +462,7 @@ def _candidates(width: int, radius: int, similarity: float, every: bool):
             for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
                 if size >= 2 * FAN:
                     GrayIndex(f[start : start + size]).link(trial, start, radius, nearer)
-        i, j = found.cut_down()
-        a, b = node[i], node[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        yield named(*found.cut_down())
 
     return _by_buckets(pairs)
 
@@ -459,8 +488,8 @@ def near_copy_groups(
 
     A bucket gives no list of its pairs. Neighbours in Gray order are checked and united first. Then all pairs of
     different groups are looked at inside the task; what leaves it are three spanning forests that share no pair, made of
-    a forest of all pairs and of the neighbours, nearest first. A true link is missed if the ways around it that were
-    kept in its place all fail the check (the tests measure how often). A bucket over
+    a forest of all pairs and of the neighbours, nearest first. What passes the check is united, which leaves few pairs of
+    different groups where copies are many; these then leave the buckets in full, so no candidate goes unchecked. A bucket over
     ``piece_rows`` is cut into pieces that meet two by two. Wordless and null texts link with each other only. Null ids
     never become a component_id, unless all of a component are null. Rows that share an id share their result. An empty
     table gives an empty table; extra columns play no part.
@@ -494,7 +523,7 @@ def near_copy_groups(
     counts = buckets.groupBy("bucket").count().where(F.col("count") > piece_rows) if worded.count() > piece_rows else None
     hot = counts and stored(counts.select("bucket", F.ceil(F.col("count") / piece_rows).alias("pieces")), "hot")
 
-    def candidates(nodes: DataFrame, every: bool) -> DataFrame:
+    def candidates(nodes: DataFrame, every: bool, cut: bool = True) -> DataFrame:
         dealt = nodes.withColumn("bucket", F.explode("bands")).drop("bands")
         if hot is None or hot.isEmpty():
             dealt = dealt.withColumns({"piece": F.lit(0).cast("long"), "lo": F.lit(0), "hi": F.lit(0)})
@@ -508,10 +537,9 @@ def near_copy_groups(
                 .drop("pieces", "other")
             )
         sort = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        return sort.mapInPandas(_candidates(width, radius, similarity, every), "a bigint, b bigint")
+        return sort.mapInPandas(_candidates(width, radius, similarity, every, cut), "a bigint, b bigint")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(pairs.distinct(), "candidates")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         needed = stored(distinct.join(nodes, "node", "left_semi").select(F.col("first").alias("needed_id")).distinct(), "needed")
         texts = rows.join(needed, F.col("id").eqNullSafe(F.col("needed_id")), "left_semi").select("text")
@@ -520,10 +548,16 @@ def near_copy_groups(
         both = F.size(F.array_intersect("ha", "hb"))
         return stored(met.where(both / (F.size("ha") + F.size("hb") - both) >= F.lit(float(similarity))).select("a", "b"), name)
 
-    sure = similar(candidates(worded.withColumn("group", F.col("node")), False), "sure")
-    united = components(sure).withColumnRenamed("component", "group")
-    grouped = stored(worded.join(united, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
-    labels = components(sure.unionByName(similar(candidates(grouped, True), "links")))
+    def grouped(links: DataFrame) -> DataFrame:
+        united = components(links).withColumnRenamed("component", "group")
+        return stored(worded.join(united, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
+
+    near = stored(candidates(worded.withColumn("group", F.col("node")), False).distinct(), "candidates")
+    links = similar(near, "sure")
+    wide = stored(candidates(grouped(links), True).distinct(), "candidates")
+    links = links.unionByName(similar(wide, "links"))
+    rest = candidates(grouped(links), True, cut=False).distinct().join(near.unionByName(wide), ["a", "b"], "left_anti")
+    labels = components(links.unionByName(similar(stored(rest, "candidates"), "rest")))
     named = stored(distinct.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
     first = stored(named.groupBy("component").agg(F.min("first").alias("component_id")), "first")
     final = named.join(first, "component").select("node", "component_id")
