@@ -68,6 +68,25 @@ def test_routing_drops_what_is_not_listed(spark):
     assert rows(facts, "sink_table", F.to_json("data"), "ts") == [("dwd_trade_cart_add", '{"user_id":"6"}', "5")]
 
 
+def test_routes_go_to_the_changes(spark):
+    """Changes of one table are not dealt out by its name, however large Spark takes the routes to be."""
+    route = ("cart_info", "insert", "to", "id")
+    columns = "source_table string, source_type string, sink_table string, sink_columns string"
+    config = spark.createDataFrame([(*route, None)], columns + ", sink_pk string")
+    spans = routing.config_spans(spark.createDataFrame([("c", None, route, 0)], f"op string, before struct<{columns}>, after struct<{columns}>, ts bigint"), ["source_table"])
+    lines = spark.range(40).select(F.when(F.col("id") >= 0, "cart_info").alias("table"), F.when(F.col("id") >= 0, "insert").alias("type"), F.create_map(F.lit("id"), F.col("id").cast("string")).alias("data"), F.col("id").alias("ts"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for routed in (routing.route_dimensions(lines, config), routing.route_facts(lines, config),
+                       routing.route_by_time(lines, spans, {"table": "source_table", "type": "source_type"})):
+            plan = routed._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
+            assert rows(routed, F.col("data")["id"].cast("int")) == sorted(((i,) for i in range(40)), key=lambda t: str(t[0]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_lookup_keeps_rows_without_a_match_at_either_hop(spark):
     facts = spark.createDataFrame([("1",), ("2",), ("3",), (None,)], "course_id string")
     courses = spark.createDataFrame([("1", "a", "10"), ("2", "b", "99")], "id string, name string, subject_id string")
