@@ -1,5 +1,6 @@
 """Keys of a bucket are handled together: few calls of a processor for many keys, with the rows of each."""
 
+import pandas as pd
 from conftest import rows
 from pyspark.sql import functions as F
 from test_streams import as_stream, at
@@ -7,7 +8,8 @@ from test_streams import as_stream, at
 from lectern.session import scratch_dir
 from lectern.streaming import operators as s
 from lectern.streaming.changelog import folded, latest_outer_join
-from lectern.streaming.run import scratch_layer, to_layer
+from lectern.streaming.processors import packed, packed_type, unpacked
+from lectern.streaming.run import scratch_layer, state_partitions, to_layer
 
 LOG = "mid string, uid string, ts timestamp_ntz"
 
@@ -34,3 +36,25 @@ def test_a_changelog_of_many_keys(spark):
     log = scratch_layer(latest_outer_join(as_stream(spark, lefts, 2), as_stream(spark, rights, 2), {"k": "k"}, salts=2), "log")
     want = lefts.join(rights.groupBy("k").agg(F.max_by("source", "ts").alias("source")), "k", "left")
     assert rows(folded(log), "id", "source") == rows(want, "id", "source")
+
+
+def test_a_state_value_is_one_cell_whatever_its_entries():
+    kinds = {"k0": "string", "day": "bigint", "sent": "boolean"}
+    frame = pd.DataFrame({"k0": ["a", None, ""], "day": [1, -(1 << 62), 1 << 62], "sent": [True, False, True]}, index=[7, 3, 5])
+    value = packed(kinds, frame)
+    assert isinstance(value[0], bytes) and value[1] is None
+    back = unpacked(kinds, value)
+    assert back.to_dict("list") == frame.to_dict("list") and list(back.dtypes) == ["object", "int64", "bool"]
+    assert list(unpacked(kinds, None).dtypes) == ["object", "int64", "bool"]
+    assert packed_type(kinds) == "entries binary, columns struct<k0: string, day: bigint, sent: boolean>"
+
+
+def test_parts_of_the_state_go_by_the_cores(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        for named, parts in ((4, 4), (3 * cores, 3 * cores), (10_000, 3 * cores)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(named))
+            assert state_partitions(spark) == str(parts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
