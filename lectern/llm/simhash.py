@@ -31,6 +31,8 @@ BLOCK_BYTES, BLOCK_PAIRS = 1 << 20, 1 << 9
 BLOCK_ROWS = 1 << 17
 #: Least hashes in a band, spanning forests of candidates that leave a bucket, and candidates that a task holds.
 BAND, FORESTS, COMPARED = 4, 3, 1 << 17
+#: Shingle hashes of a bucket that one task holds to check its pairs; larger buckets are cut into parts that meet two by two.
+CHECKED = 1 << 21
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -359,10 +361,10 @@ def strongest_forest(forest: Forest, i: np.ndarray, j: np.ndarray, differ: np.nd
 
 
 class Candidates:
-    """Links between rows, cut down again and again to ``FORESTS`` spanning forests that share no link."""
+    """Links between rows, cut down again and again to ``forests`` spanning forests that share no link."""
 
-    def __init__(self, forest: Forest, allowed):
-        self.forest, self.allowed, self.n = forest, allowed, 0
+    def __init__(self, forest: Forest, allowed, forests: int = FORESTS):
+        self.forest, self.allowed, self.forests, self.n = forest, allowed, forests, 0
         self.keys, self.differ = [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
 
     def add(self, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> None:
@@ -373,7 +375,7 @@ class Candidates:
         self.keys.append(np.minimum(i, j) * len(self.forest.up) + np.maximum(i, j))
         self.differ.append(differ[good])
         self.n += len(i)
-        if self.n > max(COMPARED, 2 * FORESTS * len(self.forest.up)):
+        if self.n > max(COMPARED, 2 * self.forests * len(self.forest.up)):
             self.cut_down()
 
     def cut_down(self) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +383,7 @@ class Candidates:
         keys, first = np.unique(np.concatenate(self.keys), return_index=True)
         differ = np.concatenate(self.differ)[first]
         ends, rest, kept = np.divmod(keys, max(1, len(self.forest.up))), np.arange(len(keys)), []
-        for _ in range(FORESTS):
+        for _ in range(self.forests):
             some = strongest_forest(self.forest, ends[0][rest], ends[1][rest], differ[rest])
             kept.append(rest[some])
             rest = np.delete(rest, some)
@@ -390,83 +392,178 @@ class Candidates:
         return ends[0][kept], ends[1][kept]
 
 
+class Arranged:
+    """The rows of whole buckets by bucket and Gray order, each group of a bucket one tree."""
+
+    def __init__(self, block: pd.DataFrame, names: list[str], similarity: float, keys: tuple[str, ...] = ("bucket", "lo", "hi")):
+        run = block.groupby(list(keys), sort=False).ngroup().to_numpy()
+        f = np.ascontiguousarray(block[names].to_numpy(np.int64)).view(np.uint64)
+        order = np.lexsort((*(f[:, w] for w in range(f.shape[1])), gray_rank(f[:, 0]), run))
+        self.block, self.f, run = block.iloc[order], f[order], run[order]
+        self.node, self.n, group, self.piece = (self.block[c].to_numpy(np.int64) for c in ("node", "n", "group", "piece"))
+        self.across = (self.block["lo"] != self.block["hi"]).to_numpy()
+        self.similarity, self.forest = similarity, Forest(len(block))
+        _, first, inverse = np.unique(np.stack([run, group]), axis=1, return_index=True, return_inverse=True)
+        self.forest.up = first[inverse.ravel()]
+        self.starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        self.sizes = np.diff(np.r_[self.starts, len(run)])
+
+    def allowed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, piece = self.n, self.piece
+        return (np.minimum(n[i], n[j]) >= self.similarity * np.maximum(n[i], n[j])) & (~self.across[i] | (piece[i] != piece[j]))
+
+    def neighbours(self) -> Iterator[tuple[int, np.ndarray]]:
+        """How far apart in Gray order, and the rows that have a row there."""
+        ends, rows = np.repeat(self.starts + self.sizes, self.sizes), np.arange(len(self.node))
+        for by in range(1, 2 * FAN):
+            rows = rows[rows + by < ends[rows]]
+            yield by, rows
+
+    def large(self) -> Iterator[tuple[int, int]]:
+        """Buckets some of whose pairs are no neighbours."""
+        return ((start, size) for start, size in zip(self.starts.tolist(), self.sizes.tolist(), strict=True) if size >= 2 * FAN)
+
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All allowed pairs of different groups within the radius, each once, part by part."""
+        f, forest, wide = self.f, self.forest, np.repeat(self.sizes >= 2 * FAN, self.sizes)
+        for by, rows in self.neighbours():
+            r = rows[~wide[rows]]
+            r = r[(forest.up[r] != forest.up[r + by]) & (_differ(f[r], f[r + by]) <= radius)]
+            r = r[self.allowed(r, r + by)]
+            yield r, r + by
+        for start, size in self.large():
+            for i, j, _ in GrayIndex(f[start : start + size]).pairs(forest, start, radius):
+                fits = self.allowed(i, j) & (forest.up[i] != forest.up[j])
+                if fits.any():
+                    yield i[fits], j[fits]
+
+
+def _not_alone(block: pd.DataFrame) -> pd.DataFrame:
+    run = block.groupby(["bucket", "lo", "hi"], sort=False).ngroup().to_numpy()
+    return block[np.bincount(run)[run] > 1]
+
+
 def _candidates(width: int, radius: int, similarity: float, every: bool, cut: bool = True):
     """Links to be checked inside each bucket: pairs of nodes of different groups whose fingerprints are within the radius
     and whose counts of shingles allow the similarity, as few as connect the same trees three times over.
 
-    Neighbours in Gray order are looked at, and with ``every`` all pairs, by the index. What its pairs connect is one tree
-    for the rest of the search, so that a dense group costs little more than its size.
+    Neighbours in Gray order are looked at, once over, and with ``every`` all pairs, by the index. What its pairs connect is
+    one tree for the rest of the search, so that a dense group costs little more than its size.
 
     Without ``cut`` nothing is left out: all such pairs of different groups come out, part by part as they are found.
     """
     names = [f"f{i}" for i in range(width // 64)]
 
     def pairs(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        run = block.groupby(["bucket", "lo", "hi"], sort=False).ngroup().to_numpy()
-        block = block[np.bincount(run)[run] > 1]
+        block = _not_alone(block)
         if block.empty:
             return
-        run = block.groupby(["bucket", "lo", "hi"], sort=False).ngroup().to_numpy()
-        f = np.ascontiguousarray(block[names].to_numpy(np.int64)).view(np.uint64)
-        order = np.lexsort((*(f[:, w] for w in range(f.shape[1])), gray_rank(f[:, 0]), run))
-        run, f = run[order], f[order]
-        node, n, group, piece = (block[c].to_numpy(np.int64)[order] for c in ("node", "n", "group", "piece"))
-        across = (block["lo"].to_numpy() != block["hi"].to_numpy())[order]
-        forest = Forest(len(block))
-        _, first, inverse = np.unique(np.stack([run, group]), axis=1, return_index=True, return_inverse=True)
-        forest.up = first[inverse.ravel()]
-
-        def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (~across[i] | (piece[i] != piece[j]))
+        a = Arranged(block, names, similarity)
 
         def named(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-            a, b = node[i], node[j]
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            one, other = a.node[i], a.node[j]
+            return pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
 
-        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        sizes = np.diff(np.r_[starts, len(run)])
-        ends = np.repeat(starts + sizes, sizes)
-        rows = np.arange(len(run))
         if not cut:
-            large = np.repeat(sizes >= 2 * FAN, sizes)  # the others' pairs are all neighbours
-            for by in range(1, 2 * FAN):
-                rows = rows[rows + by < ends[rows]]
-                r = rows[~large[rows]]
-                r = r[(forest.up[r] != forest.up[r + by]) & (_differ(f[r], f[r + by]) <= radius)]
-                r = r[allowed(r, r + by)]
-                yield named(r, r + by)
-            for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                if size >= 2 * FAN:
-                    for i, j, _ in GrayIndex(f[start : start + size]).pairs(forest, start, radius):
-                        fits = allowed(i, j) & (forest.up[i] != forest.up[j])
-                        if fits.any():
-                            yield named(i[fits], j[fits])
+            for i, j in a.pairs(radius):
+                yield named(i, j)
             return
-        found = Candidates(forest, allowed)
-        for by in range(1, 2 * FAN):
-            rows = rows[rows + by < ends[rows]]
-            differ = _differ(f[rows], f[rows + by])
+        found = Candidates(a.forest, a.allowed, FORESTS if every else 1)
+        for by, rows in a.neighbours():
+            differ = _differ(a.f[rows], a.f[rows + by])
             near = differ <= radius
             found.add(rows[near], rows[near] + by, differ[near])
         if every:
             trial = Forest(0)
-            trial.up = forest.up.copy()
+            trial.up = a.forest.up.copy()
 
             def nearer(i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> None:
-                fits = allowed(i, j)
+                fits = a.allowed(i, j)
                 i, j, differ = i[fits], j[fits], differ[fits]
                 some = strongest_forest(trial, i, j, differ)
                 found.add(i[some], j[some], differ[some])
                 trial.unite(i[some], j[some])
 
-            for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                if size >= 2 * FAN:
-                    GrayIndex(f[start : start + size]).link(trial, start, radius, nearer)
+            for start, size in a.large():
+                GrayIndex(a.f[start : start + size]).link(trial, start, radius, nearer)
         yield named(*found.cut_down())
 
     return _by_buckets(pairs)
 
 
+def _first_met(a: Arranged, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bucket is the first of those that the rows of a pair share."""
+    bands, bucket = np.stack(a.block["bands"].to_numpy()), a.block["bucket"].to_numpy()
+    alike = bands[i] == bands[j]
+    return bands[i, alike.argmax(axis=1)] == bucket[i]
+
+
+def _open(width: int, radius: int, similarity: float):
+    """The rows of each bucket that have a pair of different groups, by ``_candidates``, which no bucket before has."""
+    names = [f"f{i}" for i in range(width // 64)]
+
+    def rows(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        block = _not_alone(block)
+        if block.empty:
+            return
+        a = Arranged(block, names, similarity)
+        is_open = np.zeros(len(block), bool)
+        for i, j in a.pairs(radius):
+            for low in range(0, len(i), BLOCK_ROWS):
+                some, other = i[low : low + BLOCK_ROWS], j[low : low + BLOCK_ROWS]
+                new = ~(is_open[some] & is_open[other])
+                some, other = some[new], other[new]
+                first = _first_met(a, some, other)
+                is_open[some[first]] = is_open[other[first]] = True
+        if is_open.any():
+            yield a.block[is_open]
+
+    return _by_buckets(rows)
+
+
+def _checked(width: int, radius: int, similarity: float):
+    """A spanning forest of the links among a bucket's open rows: their pairs, checked on the sets of hashes."""
+    names = [f"f{i}" for i in range(width // 64)]
+
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        a = Arranged(block, names, similarity, ("bucket", "lo", "hi", "low", "high"))
+        part, two = a.block["part"].to_numpy(), block["low"].iloc[0] != block["high"].iloc[0]
+        hashes = a.block["hashes"].to_numpy()
+        n = np.array([len(h) for h in hashes])
+        ids = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+        at = np.cumsum(n) - n
+        here, forest = np.zeros(ids.max() + 1, bool), a.forest
+        kept: list[tuple[int, int]] = []
+        for i, j in a.pairs(radius):
+            if two:
+                apart = part[i] != part[j]
+                i, j = i[apart], j[apart]
+            first = _first_met(a, i, j)
+            i, j = i[first], j[first]
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            turns = np.flatnonzero(np.diff(i, prepend=-1)).tolist()
+            for low, high in zip(turns, [*turns[1:], len(i)], strict=False):
+                one, others = int(i[low]), j[low:high]
+                others = others[forest.up[others] != forest.up[one]]
+                if not len(others):
+                    continue
+                here[ids[at[one] : at[one] + n[one]]] = True
+                ends = np.cumsum(n[others])
+                held = here[ids[np.arange(ends[-1]) + np.repeat(at[others] - (ends - n[others]), n[others])]]
+                here[ids[at[one] : at[one] + n[one]]] = False
+                both = np.add.reduceat(held, ends - n[others], dtype=np.int64)
+                like = others[both / (n[one] + n[others] - both) >= similarity]
+                for other in like.tolist():
+                    if forest.up[other] != forest.up[one]:
+                        kept.append((one, other))
+                        forest.unite(np.array([one]), np.array([other]))
+        ends = a.node[np.array(kept, np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+    return links
+
+
 def near_copy_groups(
     docs: DataFrame,
     similarity: float,
@@ -489,8 +586,9 @@ def near_copy_groups(
     A bucket gives no list of its pairs. Neighbours in Gray order are checked and united first. Then all pairs of
     different groups are looked at inside the task; what leaves it are three spanning forests that share no pair, made of
     a forest of all pairs and of the neighbours, nearest first. What passes the check is united, which leaves few pairs of
-    different groups where copies are many; these then leave the buckets in full, so no candidate goes unchecked. A bucket over
-    ``piece_rows`` is cut into pieces that meet two by two. Wordless and null texts link with each other only. Null ids
+    different groups where copies are many. Of these only the rows leave a bucket, once each, and meet again with their sets: a
+    task checks all pairs of a bucket's rows, each in the first bucket that both are in, and gives a spanning forest of the
+    links. So no candidate goes unchecked, and none leaves a task as a pair. A bucket over ``piece_rows`` is cut into pieces that meet two by two. Wordless and null texts link with each other only. Null ids
     never become a component_id, unless all of a component are null. Rows that share an id share their result. An empty
     table gives an empty table; extra columns play no part.
     """
@@ -523,8 +621,8 @@ def near_copy_groups(
     counts = buckets.groupBy("bucket").count().where(F.col("count") > piece_rows) if worded.count() > piece_rows else None
     hot = counts and stored(counts.select("bucket", F.ceil(F.col("count") / piece_rows).alias("pieces")), "hot")
 
-    def candidates(nodes: DataFrame, every: bool, cut: bool = True) -> DataFrame:
-        dealt = nodes.withColumn("bucket", F.explode("bands")).drop("bands")
+    def in_buckets(nodes: DataFrame) -> DataFrame:
+        dealt = nodes.withColumn("bucket", F.explode("bands"))
         if hot is None or hot.isEmpty():
             dealt = dealt.withColumns({"piece": F.lit(0).cast("long"), "lo": F.lit(0), "hi": F.lit(0)})
         else:
@@ -536,18 +634,41 @@ def near_copy_groups(
                 .withColumns({"lo": F.least("piece", "other").cast("int"), "hi": F.greatest("piece", "other").cast("int")})
                 .drop("pieces", "other")
             )
-        sort = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        return sort.mapInPandas(_candidates(width, radius, similarity, every, cut), "a bigint, b bigint")
+        return dealt
 
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def by_bucket(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def candidates(nodes: DataFrame, every: bool) -> DataFrame:
+        return by_bucket(in_buckets(nodes).drop("bands")).mapInPandas(_candidates(width, radius, similarity, every), "a bigint, b bigint")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
         needed = stored(distinct.join(nodes, "node", "left_semi").select(F.col("first").alias("needed_id")).distinct(), "needed")
         texts = rows.join(needed, F.col("id").eqNullSafe(F.col("needed_id")), "left_semi").select("text")
-        held = stored(texts.mapInPandas(sets, "node bigint, hashes array<bigint>").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        return stored(texts.mapInPandas(sets, "node bigint, hashes array<bigint>").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        held = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         met = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
         both = F.size(F.array_intersect("ha", "hb"))
         return stored(met.where(both / (F.size("ha") + F.size("hb") - both) >= F.lit(float(similarity))).select("a", "b"), name)
 
+    def rest(nodes: DataFrame) -> DataFrame:
+        dealt = in_buckets(nodes)
+        met = stored(by_bucket(dealt).mapInPandas(_open(width, radius, similarity), dealt.schema), "open")
+        parts = F.ceil(F.sum("n") / CHECKED)
+        large = stored(met.groupBy("bucket", "lo", "hi").agg(parts.alias("parts")).where("parts > 1"), "large")
+        parts = F.coalesce(F.col("parts"), F.lit(1))
+        cut = (
+            met.join(large, ["bucket", "lo", "hi"], "left")
+            .withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), parts))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+            .withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+            .drop("parts", "other")
+        )
+        whole = cut.join(sets_of(met.select("node").distinct()), "node")
+        return stored(whole.groupBy("bucket", "lo", "hi", "low", "high").applyInPandas(_checked(width, radius, similarity), "a bigint, b bigint"), "rest")
+
     def grouped(links: DataFrame) -> DataFrame:
         united = components(links).withColumnRenamed("component", "group")
         return stored(worded.join(united, "node", "left").withColumn("group", F.coalesce("group", "node")), "grouped")
@@ -556,8 +677,7 @@ def near_copy_groups(
     links = similar(near, "sure")
     wide = stored(candidates(grouped(links), True).distinct(), "candidates")
     links = links.unionByName(similar(wide, "links"))
-    rest = candidates(grouped(links), True, cut=False).distinct().join(near.unionByName(wide), ["a", "b"], "left_anti")
-    labels = components(links.unionByName(similar(stored(rest, "candidates"), "rest")))
+    labels = components(links.unionByName(rest(grouped(links))))
     named = stored(distinct.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
     first = stored(named.groupBy("component").agg(F.min("first").alias("component_id")), "first")
     final = named.join(first, "component").select("node", "component_id")
