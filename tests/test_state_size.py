@@ -64,3 +64,16 @@ def test_buckets_and_parts_go_by_the_rows(spark):
         assert spark.conf.get(s.STATE_BUCKETS, None) is None and state_partitions(spark) == str(3 * cores)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_chunk_sends_one_cell_per_bucket():
+    frame = pd.DataFrame({"k0": ["a", None, "c", "a"], "at": [3, 1, None, 2], "row": ["x", "", "y", "z"], "bucket": [2, 0, 2, 2]})
+    kinds = {"k0": "string", "at": "bigint", "row": "string"}
+    cells = p.dealt(frame, kinds)
+    assert cells["bucket"].tolist() == [0, 2]
+    back = p.whole(iter([cells[cells["bucket"] == 2], cells[cells["bucket"] == 0]]))
+    assert back["k0"].tolist() == ["a", "c", "a", None] and back["row"].tolist() == ["x", "y", "z", ""]
+    assert [None if x != x else x for x in back["at"]] == [3, None, 2, 1]
+    sent = p.marked_cells(cells, frame["at"], kinds)
+    assert sent["event_ts"].isna().tolist() == [True, True, False] and sent["event_ts"].iloc[2] == pd.Timestamp(3, unit="us", tz="UTC")
+    assert p.whole(iter([sent.iloc[[2]]])).empty and p.marked_cells(p.dealt(frame[:0], kinds), frame["at"][:0], kinds).empty
